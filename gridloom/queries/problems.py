@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.axis import axis_position, minute_code_unchecked
-from gridloom.operators import eager, gridfit, intervals, profile
+from gridloom.operators import drift, eager, gridfit, intervals, profile
 from gridloom.session import table
 
 DATE = "yyyy-MM-dd"
@@ -91,6 +91,20 @@ def p3_intervals(spark: SparkSession, d: str) -> DataFrame:
     return intervals.compact(intervals.to_intervals(files, ["dataset"], "file_id"), ["dataset"])
 
 
+# --- problem 4: schemas that drift between files
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.changes(drift.schema_history(table(spark, d, "weituo_raw"), table(spark, d, "day_file")))
+
+
+def p4_orders(spark: SparkSession, d: str) -> DataFrame:
+    """All raw order lines as one table under the canonical names and types."""
+    raw = table(spark, d, "weituo_raw")
+    history = drift.schema_history(raw, table(spark, d, "day_file"))
+    return drift.unify(raw, history, drift.ORDER_COLUMNS).withColumn("trade_date", date_text())
+
+
 # --- problem 5: column-level data quality profile
 
 
@@ -110,4 +124,4 @@ def p5_profile(spark: SparkSession, d: str) -> DataFrame:
     return out.drop("n_chunks", "n_scanned")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_symbol_day, p1_fill_by_symbol, p2_found, p2_grid, p3_found, p3_intervals, p5_found, p5_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_symbol_day, p1_fill_by_symbol, p2_found, p2_grid, p3_found, p3_intervals, p4_found, p4_orders, p5_found, p5_profile)}
