@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the pattern that splits text before the merges of the rank files. White space is spelled out, as the
 #: engines differ in what \s means.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
