@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from gridloom.queries import problems
+    from gridloom.queries import inventory, problems
 
-    return dict(problems.QUERIES)
+    return inventory.QUERIES | problems.QUERIES
 
 
 def all_sql() -> dict[str, str]:
-    from gridloom.queries import problems_sql
+    from gridloom.queries import inventory_sql, problems_sql
 
-    return dict(problems_sql.SQL)
+    return inventory_sql.SQL | problems_sql.SQL

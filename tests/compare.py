@@ -27,7 +27,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
         if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return ""
         if isinstance(v, float) or type(v).__name__ in {"float64", "float32"}:
-            return f"{float(v):.9g}"
+            return str(int(v)) if abs(v) < 1e15 and float(v).is_integer() else f"{float(v):.9g}"
         if isinstance(v, bool):
             return str(v)
         if hasattr(v, "tolist"):
@@ -63,12 +63,23 @@ def main() -> int:
     spark, con, bad = local_session(8), connect(directory), 0
     for name in names or queries:
         began = time.time()
-        got = queries[name](spark, directory).toPandas()
+        try:
+            got = queries[name](spark, directory).toPandas()
+        except Exception as e:  # noqa: BLE001
+            bad += 1
+            print(f"{name}: FAILED {str(e)[:600]}", flush=True)
+            continue
         took = time.time() - began
         if name not in sql:
             print(f"{name}: {len(got)} rows, {took:.1f} s, no SQL", flush=True)
             continue
-        found = differences(got, con.execute(sql[name]).fetch_df())
+        try:
+            expected = con.execute(sql[name]).fetch_df()
+        except Exception as e:  # noqa: BLE001
+            bad += 1
+            print(f"{name}: SQL FAILED {str(e)[:900]}", flush=True)
+            continue
+        found = differences(got, expected)
         bad += bool(found)
         print(f"{name}: {len(got)} rows, {took:.1f} s, {'DIFFERS ' + '; '.join(found) if found else 'equal'}", flush=True)
     return int(bad > 0)
