@@ -34,8 +34,12 @@ def unsigned(value: Column, kind: str, name: str) -> Column:
     if kind in INTEGER:
         return guard(value.cast("bigint"), value.isNull() | (value < 0), name, "bigint")
     if kind in {"double", "float"}:
-        bad = value.isNull() | F.isnan(value) | (value < 0) | (value >= float(1 << 64)) | (value != F.floor(F.when(F.isnan(value) | (F.abs(value) >= 9e18), F.lit(0.0)).otherwise(value)).cast("double")) & (F.abs(value) < 9e18)
-        return F.when(bad, F.raise_error(F.lit(name)).cast("decimal(20,0)")).otherwise(F.when(bad, F.lit(0.0)).otherwise(value).cast("decimal(20,0)"))
+        safe = F.when(value.isNull() | F.isnan(value) | (value < 0) | (value >= float(1 << 64)), F.lit(None).cast("double")).otherwise(value.cast("double"))
+        high = F.floor(safe / float(1 << 32))
+        low = safe - high.cast("double") * float(1 << 32)
+        # in two halves: a cast of the whole double would go through its shortest decimal text
+        exact = (high.cast("decimal(20,0)") * F.lit(1 << 32) + F.floor(low).cast("decimal(20,0)")).cast("decimal(20,0)")
+        return F.when(safe.isNull() | (low != F.floor(low)), F.raise_error(F.concat(F.lit(f"{name}: "), F.coalesce(value.cast("string"), F.lit("null")))).cast("decimal(20,0)")).otherwise(exact)
     wide = value.cast("decimal(38,18)")
     bad = value.isNull() | (wide < 0) | (wide > F.lit(str(U64_MAX)).cast("decimal(20,0)")) | (wide != F.floor(wide))
     return F.when(bad, F.raise_error(F.lit(name)).cast("decimal(20,0)")).otherwise(value.cast("decimal(20,0)"))

@@ -145,7 +145,7 @@ def file_schemas(lines: DataFrame, file_id: str, payload: str) -> DataFrame:
     parts = lines.select(F.col(file_id).cast("long").alias("file_id"), F.col(payload).alias("payload")).mapInArrow(parse, FIELD_SCHEMA)
     merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sketch")))), 1, SKETCH)
     return parts.groupBy("file_id", "path", "json_type").agg(
-        F.sum("n").alias("n"), F.sum("n_number").alias("n_number"), F.sum("sum_log").alias("sum_log"), F.min("low").alias("low"), F.max("high").alias("high"), (F.sum("pos") / F.sum("n_pos")).alias("pos"), merged.alias("sketch")
+        F.sum("n").alias("n"), F.sum("n_number").alias("n_number"), F.sum("sum_log").alias("sum_log"), F.min("low").alias("low"), F.max("high").alias("high"), F.try_divide(F.sum("pos"), F.sum("n_pos")).alias("pos"), merged.alias("sketch")
     )
 
 

@@ -88,7 +88,7 @@ def logical_columns(df: DataFrame, logical: Sequence[str], dataset: str, meta: d
             return _day_ms(time_ms_of(c, kind))
         if name == "timestamp":
             ms = _day_ms(time_ms_of(F.col(sources[1]), kinds[sources[1]]))
-            return F.timestampadd("MICROSECOND", ms * 1000, c.cast("timestamp_ntz"))
+            return c.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (ms / 1000).cast("decimal(18,6)"))
         if name in SCALED:
             if sources != (name,):
                 return normalize.derived_money(_scaled("price", kinds["price"], meta), normalize.unsigned(F.col("volume"), kinds["volume"], f"{dataset}.volume"))
