@@ -135,7 +135,8 @@ def read_files(spark: SparkSession, paths: Sequence[str], dataset: str, logical:
 
 def read_days(spark: SparkSession, root: str | Path, dataset: str, days: Sequence[int | str | dt.date], logical: Sequence[str], price_policy: str | None = None) -> DataFrame:
     """Requested logical columns of whole days. A file whose date is not its name's raises when the date is used."""
-    parts = None
+    if not logical:
+        raise ValueError("no columns requested")
     by_day = {iso(d): input_path(root, dataset, d) for d in days}
     missing = [str(p) for p in by_day.values() if not p.exists()]
     if missing:
