@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.axis import N_LABELS, minute_code_unchecked, minute_label
@@ -95,49 +95,48 @@ def _typed(value: Column, m: MetricSpec) -> Column:
 
 
 def densify(sparse: DataFrame, days: DataFrame, empty: dict[str, object], n_labels: int = N_LABELS) -> DataFrame:
-    """``days`` (trade_date, symbol) times the labels, with the sparse cells' values.
+    """``days`` (trade_date, symbol) times the labels, with the sparse cells' values; ``empty``: value of a cell without events.
 
-    The grid is made on the universe's side after its shuffle, and both sides are partitioned by (trade_date, symbol), so
-    the wide side never crosses the network. Cells outside the universe or axis must not exist (P12, see ``unknown_cells``).
-    A repeated cell is an error of the input (P11) and would show as a repeated row.
+    No join: a day's marker row (code -1) meets the cells of its symbol-day, and in order of code every row opens the labels up
+    to the next one. Only compact rows are shuffled, once and by (trade_date, symbol); the wide grid is made after that shuffle.
+    Cells outside ``days`` or the axis are left out (P12, ``unknown_cells`` lists them); a repeated cell stays a repeated row (P11).
     """
-    keys = ["trade_date", "symbol"]
-    grid = days.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n_labels - 1))).alias("minute_code"))
-    values = list(empty)
-    right = sparse.select(*CELL, *values, F.lit(True).alias("__present"))
-    # Both sides hash by the coarser key; the join on the finer one keeps that partitioning.
-    joined = grid.join(right, list(CELL), "left")
-    types = dict(sparse.dtypes)
-    return joined.select(*CELL, *[F.when(F.col("__present").isNull(), F.lit(empty[v]).cast(types[v])).otherwise(F.col(v)).alias(v) for v in values])
+    on_axis = sparse.where((F.col("minute_code") >= 0) & (F.col("minute_code") < n_labels)).select(*CELL, *empty)
+    marked = on_axis.unionByName(days.select("trade_date", "symbol", F.lit(-1).alias("minute_code")), allowMissingColumns=True)
+    known = F.min("minute_code").over(Window.partitionBy("trade_date", "symbol"))
+    return _open_labels(marked.withColumn("__known", known).where("__known = -1"), empty, n_labels)
 
 
-def fill_by_union(sparse_rows: DataFrame, days: DataFrame, aggs: Sequence[Column], empty: dict[str, object], n_labels: int = N_LABELS) -> DataFrame:
-    """The dense result without a join: empty grid rows are added to the events and everything is aggregated at once.
-
-    ``sparse_rows`` holds CELL and the aggregates' inputs; ``aggs`` must ignore null inputs. One shuffle in place of two.
-    """
-    grid = days.select("trade_date", "symbol", F.explode(F.sequence(F.lit(0), F.lit(n_labels - 1))).alias("minute_code"))
-    both = sparse_rows.withColumn("__real", F.lit(1)).unionByName(grid.withColumn("__real", F.lit(None).cast("int")), allowMissingColumns=True)
-    agged = both.groupBy(*CELL).agg(F.count("__real").alias("__n"), *aggs)
-    types = dict(agged.dtypes)
-    return agged.select(*CELL, *[F.when(F.col("__n") == 0, F.lit(empty[v]).cast(types[v])).otherwise(F.col(v)).alias(v) for v in empty])
+def _open_labels(cells: DataFrame, empty: dict[str, object], n_labels: int) -> DataFrame:
+    """Cells and markers (code -1) as full grids. The first row of a symbol-day opens the labels before it, every row those up to the next."""
+    w = Window.partitionBy("trade_date", "symbol").orderBy("minute_code")
+    code, after = F.col("minute_code"), F.col("__next")
+    start = F.when(F.col("__first"), 0).otherwise(F.greatest(code, F.lit(0)))
+    stop = F.when(after.isNull(), n_labels - 1).when((after == code) & (code >= 0), code).otherwise(after - 1)
+    spans = cells.select(*CELL, *empty, F.lead(code).over(w).alias("__next"), F.lag(code).over(w).isNull().alias("__first")).where(stop >= start)
+    opened = spans.select("trade_date", "symbol", code.alias("__code"), *empty, F.explode(F.sequence(start, stop)).alias("minute_code"))
+    types = dict(cells.dtypes)
+    absent = (F.col("minute_code") != F.col("__code"))
+    return opened.select(*CELL, *[F.when(absent, F.lit(empty[v]).cast(types[v])).otherwise(F.col(v)).alias(v) for v in empty])
 
 
 def compute(inputs: dict[str, DataFrame], group: MetricGroup) -> DataFrame:
     """All metrics of a group over all days of the inputs, dense: ``trade_date, symbol, minute_code, <metrics>``.
 
-    An empty input gives an empty result with the schema; days whose events are all off the axis give empty values.
+    An empty input gives an empty result with the schema; days whose events are all off the axis give empty values. A group that
+    takes its one input as it is reads it once: off-axis events form the marker cells that open their symbol-days.
     """
     names = group.metrics[0].inputs
     used = {n: inputs[n] for n in names}
-    if group.prepare:
-        events = group.prepare(used)
-    elif len(used) == 1:
-        events = used[names[0]]
-    else:
-        raise ValueError("a group over several inputs needs prepare")
-    sparse = aggregate_minutes(events, group)
-    return densify(sparse, universe(list(used.values())), {m.name: m.empty_value for m in group.metrics})
+    empty = {m.name: m.empty_value for m in group.metrics}
+    code = minute_code_unchecked(F.col("time_ms"), group.include_pre_market, group.include_post_market)
+    if group.prepare is None:
+        if len(used) > 1:
+            raise ValueError("a group over several inputs needs prepare")
+        events = require_events(used[names[0]]).withColumn("minute_code", F.coalesce(code, F.lit(-1)))
+        return _open_labels(events.groupBy(*CELL).agg(*[_typed(m.aggregate(), m).alias(m.name) for m in group.metrics]), empty, N_LABELS)
+    sparse = aggregate_minutes(group.prepare(used), group)
+    return densify(sparse, universe(list(used.values())), empty)
 
 
 def labelled(dense: DataFrame) -> DataFrame:

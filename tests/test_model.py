@@ -177,3 +177,15 @@ def test_grid_faults(spark):
     assert verify.unordered_rows(placed, "p").count() == 0
     assert verify.unordered_rows(placed.withColumn("p", -F.col("p")), "p").first().n_unordered == 241
     assert verify.preflight(good, ["a", "b"], "2025-01-02").first()[:] == (242, 1, 0, 0)
+
+
+def test_densify_edges(spark):
+    days = spark.createDataFrame([("d", "a"), ("d", "a"), ("d", "b"), ("e", "a")], "trade_date string, symbol string")
+    cells = spark.createDataFrame([("d", "a", 0, 5), ("d", "a", 3, None), ("d", "b", 9, 1), ("d", "b", 9, 2), ("d", "c", 1, 1), ("e", "a", 10, 1), ("e", "a", -1, 1)], "trade_date string, symbol string, minute_code int, v int")
+    got = rows(metric.densify(cells, days, {"v": 0}, n_labels=10))
+    want = [("d", "a", c, {0: 5, 3: None}.get(c, 0)) for c in range(10)] + [("d", "b", c, 0) for c in range(9)] + [("d", "b", 9, 1), ("d", "b", 9, 2)] + [("e", "a", c, 0) for c in range(10)]
+    assert got == sorted(want, key=repr)
+    assert rows(metric.repeated_cells(cells), "symbol", "minute_code", "n") == [("b", 9, 2)]
+    assert ("d", "c", 1) in rows(metric.unknown_cells(cells, days, 10)) and ("e", "a", 10) in rows(metric.unknown_cells(cells, days, 10))
+    plan = metric.densify(cells, days.distinct(), {"v": 0})._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
