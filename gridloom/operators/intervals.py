@@ -19,6 +19,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.session import stored
+
 BLOCK = 1 << 16
 
 
@@ -49,11 +51,13 @@ def subtract(available: DataFrame, processed: DataFrame, stream: Sequence[str])
     """Gaps: parts of ``available`` intervals that no ``processed`` interval covers, by a sweep over their ends."""
 
     def ends(df: DataFrame, a: int, p: int) -> DataFrame:
-        up = df.select(*stream, "block", F.col("lo").alias("pos"), F.lit(a).alias("a"), F.lit(p).alias("p"))
-        down = df.select(*stream, "block", (F.col("hi") + 1).alias("pos"), F.lit(-a).alias("a"), F.lit(-p).alias("p"))
-        return up.unionByName(down)
+        # both ends of an interval in one pass: two branches would compute the intervals twice
+        up = F.struct(F.col("lo").alias("pos"), F.lit(a).alias("a"), F.lit(p).alias("p"))
+        down = F.struct((F.col("hi") + 1).alias("pos"), F.lit(-a).alias("a"), F.lit(-p).alias("p"))
+        return df.select(*stream, "block", F.explode(F.array(up, down)).alias("e")).select(*stream, "block", "e.pos", "e.a", "e.p")
 
-    points = ends(available, 1, 0).unionByName(ends(processed, 0, 1)).groupBy(*stream, "block", "pos").agg(F.sum("a").alias("a"), F.sum("p").alias("p"))
+    # placed once for the sum per position, the sweep and the merge
+    points = ends(available, 1, 0).unionByName(ends(processed, 0, 1)).repartition(*stream, "block").groupBy(*stream, "block", "pos").agg(F.sum("a").alias("a"), F.sum("p").alias("p"))
     w = Window.partitionBy(*stream, "block").orderBy("pos")
     swept = points.select(*stream, "block", F.col("pos").alias("lo"), (F.lead("pos").over(w) - 1).alias("hi"), F.sum("a").over(w).alias("__a"), F.sum("p").over(w).alias("__p"))
     open_parts = swept.where((F.col("__a") > 0) & (F.col("__p") == 0) & F.col("hi").isNotNull()).drop("__a", "__p")
@@ -69,10 +73,11 @@ def records_in(records: DataFrame, intervals: DataFrame, stream: Sequence[str],
     names = [f"__k{i}" for i in range(len(stream))]
     keys = [F.col(c).alias(n) for c, n in zip(stream, names, strict=True)]
     numbers = records.where(F.col(seq).isNotNull()).select(*keys, F.col(seq).cast("long").alias("__pos")).distinct().withColumn("__block", block_of(F.col("__pos"))).withColumn("__d", F.lit(0)).withColumn("__is", F.lit(True))
-    up = intervals.select(*keys, F.col("lo").alias("__pos"), F.col("block").alias("__block"), F.lit(1).alias("__d"), F.lit(False).alias("__is"))
-    down = intervals.select(*keys, (F.col("hi") + 1).alias("__pos"), F.col("block").alias("__block"), F.lit(-1).alias("__d"), F.lit(False).alias("__is"))
+    up = F.struct(F.col("lo").alias("p"), F.lit(1).alias("d"))
+    down = F.struct((F.col("hi") + 1).alias("p"), F.lit(-1).alias("d"))
+    ends = intervals.select(*keys, F.col("block").alias("__block"), F.explode(F.array(up, down)).alias("e")).select(*names, F.col("e.p").alias("__pos"), "__block", F.col("e.d").alias("__d"), F.lit(False).alias("__is"))
     w = Window.partitionBy(*names, "__block").orderBy("__pos").rangeBetween(Window.unboundedPreceding, 0)
-    covered = numbers.unionByName(up).unionByName(down).withColumn("__open", F.sum("__d").over(w)).where(F.col("__is") & (F.col("__open") > 0)).select(*names, "__pos")
+    covered = numbers.unionByName(ends).withColumn("__open", F.sum("__d").over(w)).where(F.col("__is") & (F.col("__open") > 0)).select(*names, "__pos")
     match = (F.col(seq).cast("long") == F.col("__pos"))
     for c, n in zip(stream, names, strict=True):
         match = match & (records[c] == F.col(n))
@@ -111,10 +116,13 @@ def pending_files(day_file: DataFrame, run_log: DataFrame, metric_input: dict[st
         .groupBy("metric_name", "trade_date", F.col("channel").cast("int").alias("channel"))
         .agg(F.max_by("source_digest", F.struct("finished_at", "log_id")).alias("source_digest"))
     )
-    done = current.join(last, ["metric_name", "trade_date", "channel"]).where(F.col("content_digest") == F.col("source_digest"))
+    is_done = F.coalesce(F.col("content_digest") == F.col("source_digest"), F.lit(False)).alias("is_done")
+    keys = ["metric_name", "trade_date", "channel"]
+    # read three times below; a table, so that it is put together once
+    state = stored(current.join(last, keys, "left").select(*keys, "file_id", is_done))
     stream = ["metric_name"]
-    gaps = subtract(to_intervals(current, stream, "file_id"), to_intervals(done, stream, "file_id"), stream)
-    return records_in(current, gaps, stream, "file_id").select("metric_name", "trade_date", "channel", "file_id")
+    gaps = subtract(to_intervals(state, stream, "file_id"), to_intervals(state.where("is_done"), stream, "file_id"), stream)
+    return records_in(state, gaps, stream, "file_id").select(*keys, "file_id")
 
 
 class Ledger:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +42,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """Reads one of the named Parquet tables of a data directory."""
     return spark.read.parquet(f"{directory}/{name}.parquet")
+
+
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """The table written to the shared folder and read again: computed once, a short plan, and safe when executors are lost."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input has fewer splits than that; each split is bounded, so little is moved. Else unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
