@@ -77,8 +77,8 @@ def code_of_label(label: Column) -> Column:
 def time_ms_of(value: Column, kind: str) -> Column:
     """Milliseconds since midnight of an integer, a timestamp (floored; F5) or a day-time interval (rounded)."""
     if kind in {"timestamp", "timestamp_ntz"}:
-        micros = F.floor(F.date_format(value, "SSSSSS").cast("int") / 1000)
-        return (F.hour(value) * 3_600_000 + F.minute(value) * 60_000 + F.second(value) * 1000 + micros).cast("long")
+        # seconds come with their fraction as a decimal: exact, and floored to the millisecond
+        return F.hour(value) * F.lit(3_600_000).cast("long") + F.minute(value) * 60_000 + F.floor(F.extract(F.lit("SECOND"), value) * 1000).cast("long")
     if kind.startswith("interval day"):
         return F.round(F.expr("1") * (F.extract(F.lit("DAY"), value) * DAY_MS + F.extract(F.lit("HOUR"), value) * 3_600_000 + F.extract(F.lit("MINUTE"), value) * 60_000 + F.extract(F.lit("SECOND"), value) * 1000)).cast("long")
     return value.cast("long")
