@@ -403,4 +403,105 @@ def q_T1_stream_minutes(spark: SparkSession, d: str) -> DataFrame:
     return out(daily.read_sums(spark, f"{folder}/out"))
 
 
+# --- further inventory entries
+
+
+def q_S2_logical_cancels(spark: SparkSession, d: str) -> DataFrame:
+    """Day-file scan with footer metadata: scales decoded, unsigned checks, derived money."""
+    from gridloom.sources import dayfiles
+
+    files = table(spark, d, "chedan").inputFiles()
+    df = dayfiles.read_files(spark, files, "chedan", ["symbol", "trade_date", "time_ms", "order_num", "price", "volume", "money"])
+    return df.select(day(), "symbol", "time_ms", "order_num", "price", "volume", F.round("money", 4).alias("money"))
+
+
+def q_S4_field_info(spark: SparkSession, d: str) -> DataFrame:
+    from gridloom.sources import dayfiles
+
+    path = table(spark, d, "chedan").inputFiles()[0].removeprefix("file://")
+    info = dayfiles.field_info(path, ["symbol", "price", "volume", "money"], "chedan")
+    return spark.createDataFrame([(k, v["physical_type"], v["scale"], v["normalized"]) for k, v in info.items()], "column_name string, physical_type string, scale int, normalized boolean")
+
+
+def q_S6_date_completeness(spark: SparkSession, d: str) -> DataFrame:
+    """Days that a table lacks while another one has them."""
+    names = ("weituo", "chengjiao", "chedan", "minute_volume")
+    have = None
+    for n in names:
+        p = table(spark, d, n).select(F.lit(n).alias("table_name"), "trade_date").distinct()
+        have = p if have is None else have.union(p)
+    wanted = have.select("trade_date").distinct().select("trade_date", F.explode(F.array(*[F.lit(n) for n in names])).alias("table_name"))
+    return wanted.join(have, ["table_name", "trade_date"], "left_anti").select("table_name", day())
+
+
+def q_S10_publish(spark: SparkSession, d: str) -> DataFrame:
+    """A metric published as day partitions and read back."""
+    import uuid
+
+    from gridloom.session import checkpoint_dir
+    from gridloom.sources import published
+
+    root = f"{checkpoint_dir(spark).removeprefix('file://')}/publish-{uuid.uuid4().hex}"
+    dense = metric.labelled(_dense(spark, d, "trades_basic").select(*CELL, "trade_volume_min"))
+    published.write_days(dense, root, "trade_volume_min", published.RunConfig(d, root))
+    back = published.read_metric(spark, root, "trade_volume_min")
+    return back.select(day(), F.date_format("minute", "yyyy-MM-dd HH:mm:ss").alias("minute"), "symbol", "trade_volume_min")
+
+
+def q_P5_known_values(spark: SparkSession, d: str) -> DataFrame:
+    """Unpriced orders count in the number and the volume, not in the money."""
+    known = F.col("price").isNotNull()
+    return orders(spark, d).groupBy(day(), "symbol").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(known, 1)).alias("n_priced"), F.sum(F.when(known, F.col("money"))).alias("priced_money"))
+
+
+def q_P9_order_identity(spark: SparkSession, d: str) -> DataFrame:
+    """Orders whose identity is complete and whose time lies in the day; the checked columns are used, so a bad row would raise."""
+    good = orders(spark, d).where("time_ms < 86400000")
+    return normalize.order_identity(good, ["symbol", "channel", "side", "order_num"]).groupBy("symbol").agg(F.count_distinct("channel", "side", "order_num").alias("orders"), F.min("time_ms").alias("first_ms"))
+
+
+def q_P14_unsigned(spark: SparkSession, d: str) -> DataFrame:
+    volume = normalize.unsigned(F.col("volume").cast("double"), "double", "chengjiao.volume")
+    return trades(spark, d).groupBy("symbol").agg(F.sum(volume).cast("bigint").alias("volume"))
+
+
+def q_A15_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Global block statistics with conditional counts."""
+    return trades(spark, d).agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("price").isNull(), 1)).alias("unpriced"), F.count(F.when(F.col("time_ms").isNull(), 1)).alias("untimed"), F.sum(F.when(F.col("money").isNull(), F.col("volume"))).alias("unknown_money_volume"))
+
+
+def q_W5_source_order(spark: SparkSession, d: str) -> DataFrame:
+    """Running volume within a cell in source order, ties of time by position."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*CELL).orderBy("time_ms", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    return coded(ticks(spark, d)).select(day(), "symbol", "minute_code", "pos", F.sum("volume").over(w).alias("running"))
+
+
+def q_O6_sampled_days(spark: SparkSession, d: str) -> DataFrame:
+    """Up to five evenly spaced days."""
+    from gridloom.plans.runner import sampled_days
+
+    days = [r[0] for r in trades(spark, d).select(day()).distinct().collect()]  # one short text a day
+    return spark.createDataFrame([(x,) for x in sampled_days(days)], "trade_date string")
+
+
+def q_C6_chain_tolerance(spark: SparkSession, d: str) -> DataFrame:
+    """Entropy in one pass against entropy by shares: cells that differ by more than the chain's tolerance (none)."""
+    from pyspark.sql import Window
+
+    cells = coded(trades(spark, d))
+    w = Window.partitionBy(*CELL)
+    p = F.col("volume") / F.sum("volume").over(w)
+    shares = cells.select(*CELL, p.alias("p")).groupBy(*CELL).agg(F.greatest(F.lit(0.0), -F.sum(F.when(F.col("p") > 0, F.col("p") * F.log("p")))).alias("h"))
+    once = cells.groupBy(*CELL).agg(aggs.entropy(F.col("volume")).alias("h"))
+    return out(verify.compare(shares, once, "h", verify.CHAIN_RTOL, verify.CHAIN_ATOL, CELL))
+
+
+def q_C7_preflight(spark: SparkSession, d: str) -> DataFrame:
+    """The first day of trades against a universe of two symbols."""
+    first = trades(spark, d).agg(F.min("trade_date")).first()[0]
+    return verify.preflight(trades(spark, d).where(F.col("trade_date") == first), ["000000.XSHE", "999999.XSHG"], str(first))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}

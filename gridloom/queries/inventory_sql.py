@@ -120,4 +120,20 @@ SQL = {
     "q_X5_blocks": cells("chengjiao", "count(*) AS n, CAST(sum(volume) AS BIGINT) AS volume"),
     "q_L1_lineitem_minutes": dense("li", ("li",), {"quantity_min": ("CAST(sum(volume) AS BIGINT)", "0"), "orders_min": ("count(DISTINCT l_orderkey)", "0")}, "li AS (SELECT DATE '2024-01-02' AS trade_date, l_returnflag || l_linestatus AS symbol, (l_orderkey * 7919 + l_linenumber::BIGINT * 104729) % 86400000 AS time_ms, CAST(l_quantity AS BIGINT) AS volume, l_orderkey FROM lineitem)"),
     "q_T1_stream_minutes": cells("chengjiao", "CAST(sum(volume) AS BIGINT) AS volume, count(*) AS n"),
+    "q_S2_logical_cancels": f"SELECT {DATE}, symbol, time_ms, order_num, price / 10000.0::DOUBLE AS price, volume, round((price / 10000.0::DOUBLE) * volume::DOUBLE, 4) AS money FROM chedan",
+    "q_S4_field_info": "SELECT * FROM (VALUES ('symbol', 'string', NULL, true), ('price', 'int64', 10000, true), ('volume', 'uint32', NULL, true), ('money', 'derived', NULL, true)) t(column_name, physical_type, scale, normalized)",
+    "q_S6_date_completeness": f"""WITH have AS ({" UNION ".join(f"SELECT '{t}' AS table_name, trade_date FROM {t}" for t in ("weituo", "chengjiao", "chedan", "minute_volume"))})
+      SELECT table_name, {DATE} FROM (SELECT t.table_name, d.trade_date FROM (SELECT DISTINCT trade_date FROM have) d, (VALUES ('weituo'), ('chengjiao'), ('chedan'), ('minute_volume')) t(table_name) EXCEPT SELECT table_name, trade_date FROM have)""",
+    "q_S10_publish": f"""WITH {coded('chengjiao')}, {universe('chengjiao')}, {GRID}, s AS (SELECT trade_date, symbol, minute_code, CAST(sum(volume) AS BIGINT) AS v FROM c GROUP BY ALL)
+      SELECT strftime(g.trade_date, '%Y-%m-%d') AS trade_date, strftime(g.trade_date + to_minutes(CAST({LABEL.format(c='g.minute_code')} AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS minute, g.symbol AS symbol, coalesce(s.v, 0) AS trade_volume_min
+      FROM g LEFT JOIN s ON g.trade_date = s.trade_date AND g.symbol = s.symbol AND g.minute_code = s.minute_code""",
+    "q_P5_known_values": f"SELECT {DATE}, symbol, count(*) AS n, count(price) AS n_priced, CAST(sum(money) FILTER (WHERE price IS NOT NULL) AS BIGINT) AS priced_money FROM weituo GROUP BY weituo.trade_date, symbol",
+    "q_P9_order_identity": "SELECT symbol, count(DISTINCT (channel, side, order_num)) AS orders, min(time_ms) AS first_ms FROM weituo WHERE time_ms < 86400000 GROUP BY 1",
+    "q_P14_unsigned": "SELECT symbol, CAST(sum(volume) AS BIGINT) AS volume FROM chengjiao GROUP BY 1",
+    "q_A15_quality": "SELECT count(*) AS n_rows, count(*) - count(price) AS unpriced, count(*) - count(time_ms) AS untimed, CAST(sum(volume) FILTER (WHERE money IS NULL) AS BIGINT) AS unknown_money_volume FROM chengjiao",
+    "q_W5_source_order": f"WITH {TICKS}, {coded('ticks')} SELECT {DATE}, symbol, minute_code, pos, CAST(sum(volume) OVER (PARTITION BY c.trade_date, symbol, minute_code ORDER BY time_ms, pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM c",
+    "q_O6_sampled_days": f"""WITH d AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT trade_date FROM chengjiao))
+      SELECT {DATE} FROM d WHERE n <= 5 OR i IN (SELECT CAST(round_even(k * (m - 1) / 4.0, 0) AS BIGINT) FROM range(5) r(k), (SELECT max(n) AS m FROM d))""",
+    "q_C6_chain_tolerance": "SELECT '' AS trade_date, '' AS symbol, 0 AS minute_code, 0.0::DOUBLE AS expected, 0.0::DOUBLE AS actual, '' AS problem WHERE false",
+    "q_C7_preflight": "SELECT count(*) AS n_rows, 2 AS n_missing_symbols, CAST(count(DISTINCT symbol) AS INTEGER) AS n_extra_symbols, 0::BIGINT AS n_wrong_dates FROM chengjiao WHERE trade_date = (SELECT min(trade_date) FROM chengjiao)",
 }
