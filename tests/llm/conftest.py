@@ -10,4 +10,5 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 def spark():
     from gridloom.session import local_session
 
-    return local_session(4, 4)
+    # tiny tables: interpreting plans is much faster than compiling them
+    return local_session(4, 4, **{"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"})
