@@ -18,7 +18,7 @@ def small_blocks(monkeypatch):
 
 def test_set_algebra(spark, small_blocks):
     rnd = random.Random(1)
-    for _ in range(3):
+    for _ in range(2):
         a, b = {rnd.randrange(60) for _ in range(40)}, {rnd.randrange(60) for _ in range(25)}
         make = lambda x: spark.createDataFrame([("s", n) for n in x] * 2 + [("s", None)], "m string, n bigint")
         ia, ib = iv.to_intervals(make(a), ["m"], "n"), iv.to_intervals(make(b), ["m"], "n")
