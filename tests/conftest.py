@@ -13,9 +13,3 @@ def spark():
 
     # tiny tables: interpreting plans is much faster than compiling them
     return local_session(4, 4, **{"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"})
-
-
-def rows(df, *columns):
-    """Rows as a sorted list of tuples."""
-    df = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in df.collect()), key=repr)

@@ -1,7 +1,7 @@
 import json
 import random
 
-from conftest import rows
+from helpers import rows
 
 from gridloom.operators import drift
 
