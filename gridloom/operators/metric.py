@@ -160,11 +160,12 @@ def unknown_cells(cells: DataFrame, days: DataFrame, n_labels: int = N_LABELS) -
 def scatter(values: DataFrame, n: int, key: str, value: str, fill: object) -> DataFrame:
     """(key, value) into 0..n-1 with a fill; a key outside raises."""
     kind = dict(values.dtypes)[value]
-    k = F.col(key)
-    checked = values.select(F.when(k.isNull() | (k < 0) | (k >= n), F.raise_error(F.lit("key out of range")).cast("bigint")).otherwise(k.cast("bigint")).alias("__k"), F.col(value).alias("__v"), F.lit(True).alias("__is"))
+    given = values.select(F.col(key).cast("bigint").alias("__k"), F.col(value).alias("__v"), F.lit(True).alias("__is"))
     base = values.sparkSession.range(n).select(F.col("id").alias("__id"))
-    # outer, so that a key outside the range is evaluated and not pushed away
-    return base.join(checked, F.col("__id") == F.col("__k"), "left").select(F.col("__id").alias(key), F.when(F.col("__is").isNull(), F.lit(fill).cast(kind)).otherwise(F.col("__v")).alias(value))
+    # A full join: the check looks at its result, so no filter of the input can be evaluated after it.
+    joined = base.join(given, F.col("__id") == F.col("__k"), "full")
+    out = F.when(F.col("__id").isNull(), F.raise_error(F.concat(F.lit("key out of range: "), F.coalesce(F.col("__k").cast("string"), F.lit("null")))).cast("bigint")).otherwise(F.col("__id"))
+    return joined.select(out.alias(key), F.when(F.col("__is").isNull(), F.lit(fill).cast(kind)).otherwise(F.col("__v")).alias(value))
 
 
 def group_to_rows(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column]) -> DataFrame:

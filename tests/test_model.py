@@ -140,6 +140,7 @@ def test_path_entropy_centre(spark):
 def test_scatter_and_group_rows(spark):
     df = spark.createDataFrame([(2, 5), (0, None)], "k bigint, v bigint")
     assert [r[0] for r in metric.scatter(df, 4, "k", "v", -1).orderBy("k").select("v").collect()] == [None, -1, 5, -1]
+    raises(metric.scatter(df.union(spark.createDataFrame([(4, 1)], "k bigint, v bigint")), 4, "k", "v", -1), "out of range")
     g = spark.createDataFrame([("a", 1), ("a", 2), (None, 5)], "k string, v int")
     assert rows(metric.group_to_rows(g, ["k"], {"total": F.sum("v")})) == sorted([("a", 1, 3), ("a", 2, 3), (None, 5, 5)], key=repr)
 
