@@ -17,6 +17,10 @@ def day(name: str = "trade_date"):  # noqa: ANN201
     return F.date_format(F.col(name), "yyyy-MM-dd").alias(name)
 
 
+def moment(name: str):  # noqa: ANN201
+    return F.date_format(F.col(name), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(name)
+
+
 def ticks(spark: SparkSession, d: str) -> DataFrame:
     """Events as trades: symbol = event type, position = event id, unknown money where k is a multiple of five."""
     k = F.get_json_object("props", "$.k").cast("long")
@@ -70,7 +74,7 @@ def q_F5_milliseconds(spark: SparkSession, d: str) -> DataFrame:
 def q_F6_scales(spark: SparkSession, d: str) -> DataFrame:
     """Scaled integers as doubles, and derived money of orders."""
     price = normalize.unscale(F.col("price"), "bigint", 10000, "price")
-    return orders(spark, d).select(day(), "channel", "order_num", "recv_time", price.alias("price"), normalize.unscale(F.col("money"), "bigint", 10000, "money").alias("money"), normalize.derived_money(price, F.col("volume")).alias("derived_money"))
+    return orders(spark, d).select(day(), "channel", "order_num", moment("recv_time"), price.alias("price"), normalize.unscale(F.col("money"), "bigint", 10000, "money").alias("money"), normalize.derived_money(price, F.col("volume")).alias("derived_money"))
 
 
 def q_F8_types(spark: SparkSession, d: str) -> DataFrame:
@@ -214,7 +218,7 @@ def q_J3_scatter(spark: SparkSession, d: str) -> DataFrame:
 def q_J4_share_of_group(spark: SparkSession, d: str) -> DataFrame:
     """Each order's volume beside its symbol's total and largest order of the day."""
     rows = metric.group_to_rows(orders(spark, d), ["trade_date", "symbol"], {"total": F.sum("volume"), "largest": F.max("volume")})
-    return rows.select(day(), "symbol", F.col("channel").cast("int").alias("channel"), "order_num", "recv_time", "volume", "total", "largest")
+    return rows.select(day(), "symbol", F.col("channel").cast("int").alias("channel"), "order_num", moment("recv_time"), "volume", "total", "largest")
 
 
 # --- windows

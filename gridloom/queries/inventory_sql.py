@@ -47,7 +47,7 @@ SQL = {
     "q_F3_timestamp_codes": f"WITH {TICKS} SELECT pos AS event_id, CAST({code_sql('time_ms')} AS INTEGER) AS code FROM ticks",
     "q_F4_labels": f"SELECT strftime(trade_date, '%Y-%m-%d') AS trade_date, CAST(m AS INTEGER) AS code, strftime(trade_date + to_minutes(CAST({LABEL.format(c='m')} AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS label FROM (SELECT DISTINCT trade_date FROM chengjiao), range(242) r(m)",
     "q_F5_milliseconds": f"WITH {TICKS} SELECT pos AS event_id, time_ms FROM ticks",
-    "q_F6_scales": f"SELECT {DATE}, channel, order_num, recv_time, price / 10000.0::DOUBLE AS price, money / 10000.0::DOUBLE AS money, (price / 10000.0::DOUBLE) * volume::DOUBLE AS derived_money FROM weituo",
+    "q_F6_scales": f"SELECT {DATE}, channel, order_num, strftime(recv_time, '%Y-%m-%d %H:%M:%S.%f') AS recv_time, price / 10000.0::DOUBLE AS price, money / 10000.0::DOUBLE AS money, (price / 10000.0::DOUBLE) * volume::DOUBLE AS derived_money FROM weituo",
     "q_F8_types": "SELECT CASE type WHEN 1 THEN '1' WHEN 2 THEN '2' WHEN 3 THEN 'U' WHEN 50 THEN '50' WHEN 85 THEN '85' END AS type_text, count(*) AS n FROM weituo GROUP BY 1",
     "q_F9_raw_prices": "SELECT symbol, CAST(sum(price) AS BIGINT) AS raw_sum FROM chengjiao GROUP BY 1",
     "q_F10_packed_keys": f"SELECT {DATE}, CAST(channel AS BIGINT) * 1099511627776 + CAST(order_num AS BIGINT) * 256 + side AS packed, count(*) AS n FROM weituo GROUP BY weituo.trade_date, 2",
@@ -74,7 +74,7 @@ SQL = {
     "q_A13_cell_reducer": cells("ticks", "max(volume) - min(volume) AS volume_range", TICKS),
     "q_A14_universe": f"WITH {universe('weituo', 'chengjiao', 'chedan')} SELECT {DATE}, symbol FROM u",
     "q_J3_scatter": f"WITH {coded('chengjiao')}, s AS (SELECT minute_code, count(*) AS n FROM c GROUP BY ALL) SELECT m AS code, coalesce(n, -1) AS n FROM range(242) r(m) LEFT JOIN s ON m = minute_code",
-    "q_J4_share_of_group": f"SELECT {DATE}, symbol, CAST(channel AS INTEGER) AS channel, order_num, recv_time, volume, CAST(sum(volume) OVER w AS BIGINT) AS total, max(volume) OVER w AS largest FROM weituo WINDOW w AS (PARTITION BY weituo.trade_date, symbol)",
+    "q_J4_share_of_group": f"SELECT {DATE}, symbol, CAST(channel AS INTEGER) AS channel, order_num, strftime(recv_time, '%Y-%m-%d %H:%M:%S.%f') AS recv_time, volume, CAST(sum(volume) OVER w AS BIGINT) AS total, max(volume) OVER w AS largest FROM weituo WINDOW w AS (PARTITION BY weituo.trade_date, symbol)",
     "q_W1_path_extremes": f"""WITH {TICKS}, {coded('ticks')}, p AS (SELECT trade_date, symbol, minute_code, volume, money,
       sum(CASE side WHEN 49 THEN 1 ELSE -1 END) OVER w AS d, sum(CASE side WHEN 49 THEN volume ELSE -volume END) OVER w AS v, sum(CASE side WHEN 49 THEN coalesce(money, 0) ELSE -coalesce(money, 0) END) OVER w AS m
       FROM c WINDOW w AS (PARTITION BY trade_date, symbol, minute_code ORDER BY time_ms, pos ROWS UNBOUNDED PRECEDING))
