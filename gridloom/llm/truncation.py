@@ -34,6 +34,8 @@ SOFT = 9  # a cut at a word's end leaves up to so many characters below the limi
 
 STRONG = set(".!?。！？｡؟।")
 ELLIPSIS = set("…⋯")
+STOPS = STRONG | ELLIPSIS
+TAIL = 128  # longer than anything the patterns below can match at the end of a text
 CLOSERS = set("\"'”“’»›)）]】」』〉》")
 OPENERS = {"(": ")", "（": "）", "“": "”", "«": "»", "„": "“", "[": "]"}
 PAUSES = set(",，、;；:：")
@@ -66,7 +68,7 @@ def strip_noise(text: str) -> tuple[str, str]:
     return text[:end], next((k for k in ("em", "nl", "sp") if k in kinds), "")
 
 
-MARK = re.compile(r"[\[(（【]\s*(?:\.{2,}|…+|more|\+)\s*[\])）】]$")
+MARK = re.compile(r"[\[(（【]\s{0,9}(?:\.{2,20}|…{1,20}|more|\+)\s{0,9}[\])）】]$")
 ENTITY = re.compile(r"&[#A-Za-z0-9]{0,7}$")
 TAG = re.compile(r"<[/A-Za-z][^<>]{0,80}$|<$")
 WHOLE_TAG = re.compile(r"</?[A-Za-z][^<>]{0,80}>$")
@@ -84,17 +86,23 @@ def closing(text: str) -> tuple[str, str, str]:
     """
     core, noise = strip_noise(text)
     for _ in range(3):  # whole tags and short asides after the end of the text
-        m = WHOLE_TAG.search(core) or (ASIDE.search(core) if _terminated(core) is None and not MARK.search(core) else None)
-        before = strip_noise(core[: m.start()])[0] if m else ""
+        tail = core[-TAIL:]
+        if not tail or tail[-1] not in ">)）":
+            break
+        m = WHOLE_TAG.search(tail) or (ASIDE.search(tail) if _terminated(core) is None and not MARK.search(tail) else None)
+        before = strip_noise(core[: len(core) - len(tail) + m.start()])[0] if m else ""
         if not before:
             break
         core = before
     if core.endswith("�"):
         return "bad", noise, core.rstrip("�")
-    if ENTITY.search(core) or TAG.search(core):
-        return "entity", noise, (ENTITY if ENTITY.search(core) else TAG).sub("", core)
-    if MARK.search(core):
-        return "mark", noise, MARK.sub("", core).rstrip()
+    tail = core[-TAIL:]
+    cut = ENTITY.search(tail) or TAG.search(tail)
+    if cut:
+        return "entity", noise, core[: len(core) - len(tail) + cut.start()]
+    mark = MARK.search(tail)
+    if mark:
+        return "mark", noise, core[: len(core) - len(tail) + mark.start()].rstrip()
     found = _terminated(core)
     if found:
         return found[0], noise, found[1]
@@ -108,23 +116,30 @@ def closing(text: str) -> tuple[str, str, str]:
 
 def _terminated(core: str) -> tuple[str, str] | None:
     """Class and rest of a text that ends in a full stop or ellipsis, closing quotes and brackets aside; None if it does not."""
-    bare = core
-    while bare and (bare[-1] in CLOSERS or bare[-1].isspace()):
-        bare = bare[:-1]
-    if not bare or bare[-1] not in STRONG | ELLIPSIS:
+    end = len(core)
+    while end and (core[end - 1] in CLOSERS or core[end - 1].isspace()):
+        end -= 1
+    if not end or core[end - 1] not in STOPS:
         return None
-    rest = bare
-    while rest and rest[-1] in STRONG | ELLIPSIS:
-        rest = rest[:-1]
-    run = bare[len(rest) :]
-    dots = run.startswith("...") or run.startswith("..") or any(c in ELLIPSIS for c in run)
-    return ("ell" if dots else "strong"), rest.rstrip()
+    start = end
+    while start and core[start - 1] in STOPS:
+        start -= 1
+    run = core[start:end]
+    dots = run.startswith("..") or any(c in ELLIPSIS for c in run)
+    return ("ell" if dots else "strong"), core[:start].rstrip()
+
+
+MARKS = ("[...]", "[…]", "...", "…")
 
 
 def cut_length(text: str, unit: str) -> int:
     """Length without what is put after a cut (markers, damaged characters), in characters or bytes."""
     t = text.rstrip("�") if text.endswith("�") else text
-    t = re.sub(r"(?:\s*\[(?:\.{3}|…)\]|\.{3}|…)$", "", t)
+    mark = next((m for m in MARKS if t.endswith(m)), None)
+    if mark:
+        t = t[: -len(mark)]
+        if mark[0] == "[":
+            t = t.rstrip()
     return len(t) if unit == "chars" else len(t.encode("utf-8", "replace"))
 
 
@@ -163,7 +178,7 @@ def features(text: str, limits: Limits, open_rate: float, near: tuple[str, str]
     """Feature names of a text. ``near``: what to assume of the distance to the limits (for artificial cuts)."""
     kind, noise, core = closing(text)
     group = "s" if kind == "strong" else "e" if kind == "ell" else "o"
-    chars, bytes_ = near or (_near(cut_length(text, "chars"), limits[0]), _near(cut_length(text, "bytes"), limits[1]))
+    chars, bytes_ = near or (_near(cut_length(text, "chars"), limits[0]) if limits[0] else "no", _near(cut_length(text, "bytes"), limits[1]) if limits[1] else "no")
     tail = _shape(core[-60:])
     words = tail.split()[-3:] if tail else []
     out = [f"k:{kind}", f"k:{kind}:{noise}", f"lc:{group}:{chars}", f"lb:{group}:{bytes_}"]

@@ -14,6 +14,21 @@ def test_closing(text, kind):
     assert tr.closing(text)[0] == kind
 
 
+def test_very_long_ends_take_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("." * 300_000, "x" + " " * 300_000 + "y", " " * 300_000 + "[", "a [" * 100_000, "”" * 300_000, "<" * 300_000, "x" + "…" * 300_000, "&" * 300_000, "x" * 300_000 + "\n" * 300_000):
+        assert 0.0 <= tr.probability(text, ([120], [400]), 0.1, tr.np.zeros(tr.DIMENSIONS)) <= 1.0
+        tr.examples(text, ([120], []), 0.1)
+    assert time.time() - began < 20
+
+
+def test_cut_length():
+    assert [tr.cut_length(t, "chars") for t in ("abc", "abc…", "abc...", "abc [...]", "abc�", "")] == [3, 3, 3, 3, 3, 0]
+    assert tr.cut_length("é�", "bytes") == 2
+
+
 def test_limits():
     rnd = random.Random(1)
     hist = {}
