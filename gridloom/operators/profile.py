@@ -188,7 +188,8 @@ def value_counts(df: DataFrame, table_name: str, load: str, columns: Sequence[st
         cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("long").alias("v")) for c in columns]))
         parts.append(rest.select(F.col(load).alias("load_id"), cells.alias("c")).select("c.column_name", "load_id", "c.v", F.lit(1).cast("long").alias("n")))
     if decided:
-        of_footers = chunks.where(F.col("path").isin(decided))
+        whole = chunks.groupBy("path").agg(F.bool_and(F.col("load").isNotNull()).alias("ok")).where("ok").select("path")
+        of_footers = chunks.join(whole, "path", "left_semi")
         both = F.array(F.struct(F.col("value").alias("v"), (F.col("n_rows") - F.col("n_nulls")).alias("n")), F.struct(F.lit(None).cast("long").alias("v"), F.col("n_nulls").alias("n")))
         parts.append(of_footers.select("column_name", F.col("load").alias("load_id"), F.explode(both).alias("c")).select("column_name", "load_id", "c.v", "c.n").where("n > 0"))
     rows = parts[0]
