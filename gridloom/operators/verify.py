@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions.axis import N_LABELS, code_of_label
+from gridloom.sources import footer
 
 KEYS = ("trade_date", "minute", "symbol")
 #: Tolerances of chain checks; integers are always exact.
@@ -141,3 +144,55 @@ def preflight(df: DataFrame, symbols: Sequence[str], day: str) -> DataFrame:
         F.lit(have.join(wanted, "symbol", "left_anti").count()).alias("n_extra_symbols"),
         "n_wrong_dates",
     )
+
+
+def preflight_days(inputs: dict[str, DataFrame]) -> DataFrame:
+    """C7 over every day of several tables: ``table_name, trade_date, n_rows, n_null_symbols, n_missing_symbols, n_extra_symbols, n_wrong_dates``.
+
+    A table's universe of a day is what the other tables hold: their symbols that it lacks are missing, its own that none of them
+    has are extra, and rows of a day that none of them has (a null one included) are of a wrong date. A row per table and day of any table.
+    """
+    if len(inputs) < 2:
+        raise ValueError("one table has no others to be held against")
+    cells = None
+    for name, df in inputs.items():
+        part = df.groupBy("trade_date", "symbol").agg(F.count(F.lit(1)).alias("n")).withColumn("t", F.lit(name))
+        cells = part if cells is None else cells.unionByName(part)
+    count = {name: F.coalesce(F.sum(F.when(F.col("t") == name, F.col("n"))), F.lit(0)).alias(f"n_{i}") for i, name in enumerate(inputs)}
+    per_symbol = cells.groupBy("trade_date", "symbol").agg(*count.values())
+    known, sums = F.col("symbol").isNotNull(), []
+    for i in range(len(inputs)):
+        own, others = F.col(f"n_{i}"), sum((F.col(f"n_{k}") for k in range(len(inputs)) if k != i), F.lit(0))
+        sums.append(F.struct(
+            F.sum(own).alias("n_rows"), F.sum(F.when(known, F.lit(0)).otherwise(own)).alias("n_null_symbols"), F.count(F.when(known & (own == 0), 1)).alias("n_missing_symbols"),
+            F.count(F.when(known & (own > 0) & (others == 0), 1)).alias("n_extra_symbols"), F.when(F.col("trade_date").isNull() | (F.sum(others) == 0), F.sum(own)).otherwise(F.lit(0)).alias("n_wrong_dates"),
+        ).alias(f"s_{i}"))
+    days = per_symbol.groupBy("trade_date").agg(*sums)
+    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("table_name"), F.col(f"s_{i}").alias("s")) for i, name in enumerate(inputs)]))
+    return days.select("trade_date", rows.alias("r")).select("r.table_name", "trade_date", "r.s.*")
+
+
+#: File keys and Arrow types of an input; of several names of a column the first that is there counts.
+INPUT_KEYS = {"price_policy_version": "3", "format_version": "1"}
+INPUT_TYPES = {("symbol",): "string", ("date", "trade_date"): "date32[day]"}
+
+
+def footer_faults(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+    """File keys and types other than the input contract's, over the footers of all files: ``field, expected, found, n_files``; a missing one is null."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                with footer.open_file(path) as f:
+                    schema = pq.read_schema(f)
+                meta = schema.metadata or {}
+                got = [(k, want, meta[k.encode()].decode("utf-8", "replace") if k.encode() in meta else None) for k, want in INPUT_KEYS.items()]
+                for names, want in INPUT_TYPES.items():
+                    have = next((n for n in names if n in schema.names), None)
+                    got.append((names[0], want, str(schema.field(have).type) if have else None))
+                rows += [g for g in got if g[1] != g[2]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["field", "expected", "found"])
+
+    paths = spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism)))
+    return paths.mapInArrow(read, "field string, expected string, found string").groupBy("field", "expected", "found").agg(F.count(F.lit(1)).alias("n_files"))

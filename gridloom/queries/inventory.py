@@ -503,9 +503,23 @@ def q_C6_chain_tolerance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_C7_preflight(spark: SparkSession, d: str) -> DataFrame:
-    """The first day of trades against a universe of two symbols."""
+    """The first day of trades against a universe of two symbols, as the SQL has it; all days and tables: ``q_C7_preflight_days``."""
     first = trades(spark, d).agg(F.min("trade_date")).first()[0]
     return verify.preflight(trades(spark, d).where(F.col("trade_date") == first), ["000000.XSHE", "999999.XSHG"], str(first))
 
 
+TICKS = ("weituo", "chengjiao", "chedan")
+
+
+def q_C7_preflight_days(spark: SparkSession, d: str) -> DataFrame:
+    """Every day of every tick table against the symbols and days of the other two."""
+    return verify.preflight_days({n: table(spark, d, n) for n in TICKS}).withColumn("trade_date", day())
+
+
+def q_C7_footers(spark: SparkSession, d: str) -> DataFrame:
+    """File keys and types of all files of the tick tables that are not the input contract's."""
+    found = [verify.footer_faults(spark, table(spark, d, n).inputFiles()).select(F.lit(n).alias("table_name"), "*") for n in TICKS]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}

@@ -136,4 +136,12 @@ SQL = {
       SELECT {DATE} FROM d WHERE n <= 5 OR i IN (SELECT CAST(round_even(k * (m - 1) / 4.0, 0) AS BIGINT) FROM range(5) r(k), (SELECT max(n) AS m FROM d))""",
     "q_C6_chain_tolerance": "SELECT '' AS trade_date, '' AS symbol, 0 AS minute_code, 0.0::DOUBLE AS expected, 0.0::DOUBLE AS actual, '' AS problem WHERE false",
     "q_C7_preflight": "SELECT count(*) AS n_rows, 2 AS n_missing_symbols, CAST(count(DISTINCT symbol) AS INTEGER) AS n_extra_symbols, 0::BIGINT AS n_wrong_dates FROM chengjiao WHERE trade_date = (SELECT min(trade_date) FROM chengjiao)",
+    "q_C7_preflight_days": """WITH c AS (SELECT 'weituo' AS t, trade_date, symbol FROM weituo UNION ALL SELECT 'chengjiao', trade_date, symbol FROM chengjiao UNION ALL SELECT 'chedan', trade_date, symbol FROM chedan),
+        s AS (SELECT DISTINCT t, trade_date, symbol FROM c WHERE symbol IS NOT NULL), d AS (SELECT DISTINCT n.t, c.trade_date FROM c CROSS JOIN (SELECT DISTINCT t FROM c) n),
+        r AS (SELECT t, trade_date, count(*) AS n, count(*) - count(symbol) AS nulls FROM c GROUP BY ALL),
+        m AS (SELECT d.t, d.trade_date, count(DISTINCT o.symbol) AS n FROM d JOIN s o ON o.trade_date = d.trade_date AND o.t <> d.t LEFT JOIN s own ON own.t = d.t AND own.trade_date = d.trade_date AND own.symbol = o.symbol WHERE own.t IS NULL GROUP BY ALL),
+        e AS (SELECT s.t, s.trade_date, count(*) AS n FROM s LEFT JOIN s o ON o.t <> s.t AND o.trade_date = s.trade_date AND o.symbol = s.symbol WHERE o.t IS NULL GROUP BY ALL)
+        SELECT d.t AS table_name, strftime(d.trade_date, '%Y-%m-%d') AS trade_date, coalesce(r.n, 0) AS n_rows, coalesce(r.nulls, 0) AS n_null_symbols, coalesce(m.n, 0) AS n_missing_symbols, coalesce(e.n, 0) AS n_extra_symbols,
+        CASE WHEN EXISTS (SELECT 1 FROM r o WHERE o.t <> d.t AND o.trade_date = d.trade_date) THEN 0 ELSE coalesce(r.n, 0) END AS n_wrong_dates
+        FROM d LEFT JOIN r ON r.t = d.t AND r.trade_date IS NOT DISTINCT FROM d.trade_date LEFT JOIN m ON m.t = d.t AND m.trade_date = d.trade_date LEFT JOIN e ON e.t = d.t AND e.trade_date = d.trade_date""",
 }

@@ -190,3 +190,30 @@ def test_densify_edges(spark):
     assert ("d", "c", 1) in rows(metric.unknown_cells(cells, days, 10)) and ("e", "a", 10) in rows(metric.unknown_cells(cells, days, 10))
     plan = metric.densify(cells, days.distinct(), {"v": 0})._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_preflight_of_every_day_and_table(spark):
+    make = lambda data: spark.createDataFrame(data, "trade_date string, symbol string")
+    got = verify.preflight_days({"x": make([("d", "a"), ("d", "a"), ("d", "b"), ("e", "a"), (None, "a")]), "y": make([("d", "a"), ("d", None)]), "z": make([("d", "a"), ("d", "c"), ("e", "a"), ("e", "b")])})
+    assert rows(got.where("trade_date is not null"), "table_name", "trade_date", "n_rows", "n_null_symbols", "n_missing_symbols", "n_extra_symbols", "n_wrong_dates") == [
+        ("x", "d", 3, 0, 1, 1, 0), ("x", "e", 1, 0, 1, 0, 0), ("y", "d", 2, 1, 2, 0, 0), ("y", "e", 0, 0, 2, 0, 0), ("z", "d", 2, 0, 1, 1, 0), ("z", "e", 2, 0, 0, 1, 0),
+    ]
+    assert rows(got.where("trade_date is null"), "table_name", "n_rows", "n_wrong_dates") == [("x", 1, 1), ("y", 0, 0), ("z", 0, 0)]
+    with pytest.raises(ValueError, match="no others"):
+        verify.preflight_days({"x": make([("d", "a")])})
+
+
+def test_preflight_of_footers(spark, tmp_path):
+    import datetime as dt
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def write(name, keys, symbol, date):
+        pq.write_table(pa.table({"symbol": symbol, "date": date}).replace_schema_metadata(keys), tmp_path / name)
+        return str(tmp_path / name)
+
+    day, good = pa.array([dt.date(2025, 1, 2)]), {"price_policy_version": "3", "format_version": "1"}
+    files = [write("a", good, pa.array(["s"]), day), write("b", good | {"price_policy_version": "2"}, pa.array(["s"]), day), write("c", {"format_version": "1"}, pa.array([b"s"]), pa.array([20250102]))]
+    assert rows(verify.footer_faults(spark, files[:1])) == []
+    assert rows(verify.footer_faults(spark, files), "field", "found", "n_files") == [("date", "int64", 1), ("price_policy_version", "2", 1), ("price_policy_version", None, 1), ("symbol", "binary", 1)]
