@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 DIMENSIONS = 1 << 18
 SAMPLE_ROWS = 12_000
 THRESHOLD = 0.5
-NATURAL_OPEN_RATE = 0.6  # a source above it has no closing punctuation by nature
+NATURAL_OPEN_RATE = 0.6  # a source above it has no closing punctuation by nature, or cuts most of its texts
+STANDS_OUT = 3  # a limit of such a source holds so many times what lies next to it
 SOFT = 9  # a cut at a word's end leaves up to so many characters below the limit
 
 STRONG = set(".!?。！？｡؟।")
@@ -250,6 +251,15 @@ def cuts(text: str, rng: random.Random, times: int = 2) -> list[tuple[str, tuple
     return out
 
 
+def trains(text: str | None, limits: Limits, open_rate: float) -> bool:
+    """Whether a text counts as intact: its end is closed, or its source never closes its texts and no length limit explains the open end."""
+    if text is None or not strip_noise(text)[0]:
+        return False
+    if not is_open(text):
+        return True
+    return open_rate > NATURAL_OPEN_RATE and all(_near(cut_length(text, unit), x) in ("no", "far") for unit, x in zip(("chars", "bytes"), limits, strict=True))
+
+
 def examples(text: str, limits: Limits, open_rate: float) -> list[tuple[list[int], int]]:
     """Hashed training examples of an intact text; the random choices depend on the text only, so a rerun task gives the same."""
     rng = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")))
@@ -303,11 +313,26 @@ def probability(text: str | None, limits: Limits, open_rate: float, weights: np.
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def find_limits(histogram: dict[int, int], least: int = 4, significance: float = 6.0) -> list[tuple[float, int]]:
+def _stands_out(histogram: dict[int, int], top: int, width: int, inside: int) -> bool:
+    """Whether a pile-up is more than the shape of texts that are open by nature, whose lengths have a mode and favourites of their own.
+
+    A hard limit holds ``STANDS_OUT`` times any length near it; a soft one as much against the windows on both sides, ends sharply,
+    as cuts at a word's end do and the flank of a bell does not, and its window is at most a quarter of its length, which natural lengths spread over.
+    """
+    count = lambda a, b: sum(histogram.get(x, 0) for x in range(a, b))
+    if not width:
+        return inside >= STANDS_OUT * max(histogram.get(top + d, 0) for d in range(-5, 6) if d)
+    sides = max(count(top - 2 * width - 1, top - width), count(top + 1, top + width + 2))
+    last = count(top - 2, top + 1)
+    return top >= 4 * SOFT and inside >= STANDS_OUT * sides and last >= 0.8 * 3 * inside / (width + 1) and count(top + 1, top + 4) <= 0.1 * last
+
+
+def find_limits(histogram: dict[int, int], least: int = 4, significance: float = 6.0, natural: bool = False) -> list[tuple[float, int]]:
     """(score, length) of the lengths at which open ends pile up, best first, windows not overlapping.
 
     A hard limit is one length, a soft one (cuts at a word's end) a window of ``SOFT`` lengths up to it; either must hold
-    far more open ends than the twenty lengths on both sides lead to expect.
+    far more open ends than the twenty lengths on both sides lead to expect. ``natural``: most texts are open, so the
+    pile-up must also stand out from the lengths of complete open texts.
     """
     scored = []
     for top in histogram:
@@ -318,7 +343,7 @@ def find_limits(histogram: dict[int, int], least: int = 4, significance: float =
             side = sum(histogram.get(x, 0) for x in range(top + 1, top + 21)) + sum(histogram.get(x, 0) for x in range(top - width - 20, top - width))
             expected = side * (width + 1) / 40
             score = (inside - expected) / math.sqrt(expected + 1)
-            if score >= significance:
+            if score >= significance and (not natural or _stands_out(histogram, top, width, inside)):
                 scored.append((score, top, width))
     scored.sort(key=lambda x: (-x[0], x[1], x[2]))
     kept: list[tuple[float, int]] = []
@@ -334,11 +359,11 @@ STATS_SCHEMA = "source_key string, n_rows bigint, open_rate double, char_limits
 def _source_stats(pdf: pd.DataFrame) -> pd.DataFrame:
     """One source's histogram (unit, length, n_rows, n_open) to its open rate and limits: those of the unit whose best one is clearer."""
     total, opened = int(pdf["n_rows"].sum()), int(pdf["n_open"].sum())
-    by_unit = {u: find_limits({int(x): int(n) for x, n in zip(p["length"], p["n_open"], strict=True) if n}) for u, p in pdf.groupby("unit")}
     rate = opened / total if total else 0.0
     # each text is in the histogram once per unit, so the rate is the same as of either
+    by_unit = {u: find_limits({int(x): int(n) for x, n in zip(p["length"], p["n_open"], strict=True) if n}, natural=rate > NATURAL_OPEN_RATE) for u, p in pdf.groupby("unit")}
     best = max(by_unit, key=lambda u: (by_unit[u][0][0] if by_unit[u] else 0.0, u), default=None)
-    kept = {u: sorted(x for _, x in v) if u == best and rate <= NATURAL_OPEN_RATE else [] for u, v in by_unit.items()}
+    kept = {u: sorted(x for _, x in v) if u == best else [] for u, v in by_unit.items()}
     return pd.DataFrame({"source_key": [pdf["source_key"].iloc[0]], "n_rows": [total // max(1, len(by_unit))], "open_rate": [rate], "char_limits": [kept.get("chars", [])], "byte_limits": [kept.get("bytes", [])]})
 
 
@@ -370,7 +395,7 @@ def score(df: DataFrame, id_column: str = "doc_id", text: str = "text", source:
 
     Null, empty and blank texts score 0. Repeated rows stay; other columns, clashing names included, are ignored. Texts of
     any length are read whole. An empty table gives no rows. The classifier is fitted on about ``sample_rows`` rows (by hash of
-    the id) whose end is closed, or whose source never closes its texts; statistics are of all rows.
+    the id) whose end is closed, or whose source never closes its texts and whose length is not at a limit; statistics are of all rows.
     """
     spark = df.sparkSession
     kind = df.schema[id_column].dataType.simpleString()
@@ -392,7 +417,7 @@ def score(df: DataFrame, id_column: str = "doc_id", text: str = "text", source:
         for batch in batches:
             found = []
             for t, rate, lc, lb in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
-                if strip_noise(t)[0] and (not is_open(t) or rate > NATURAL_OPEN_RATE):
+                if trains(t, (lc, lb), rate):
                     found += examples(t, (lc, lb), rate)
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.list_(pa.int32())), pa.array([y for _, y in found], pa.int32())], names=["f", "y"])
 

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,3 +99,42 @@ def test_sources_beyond_the_bound_are_joined(spark):
     df = spark.createDataFrame(corpus(200), "doc_id bigint, text string, source string, cut int")
     near, far = (sorted(map(tuple, tr.score(df, sample_rows=100, max_sources=m).collect())) for m in (10, 1))
     assert near == far
+
+
+def mostly_cut(n=1200, seed=5, limit=40):
+    """Source ``c`` cuts at a field limit, which most of its texts exceed; ``h`` never closes its texts and has no limit."""
+    rnd = random.Random(seed)
+    out = []
+    for i, text, source, cut in corpus(n, seed):
+        kind = rnd.random()
+        if kind < 0.4:
+            whole = text if not cut and text.endswith(".") else "It ends."
+            out.append((i, whole[:limit], "c", int(len(whole) > limit)))
+        elif kind < 0.6 and not cut:
+            out.append((i, text.split(".")[0], "h", 0))
+        else:
+            out.append((i, text, source, cut))
+    return out
+
+
+def test_a_source_that_cuts_most_of_its_texts_keeps_its_limit(spark):
+    data = mostly_cut()
+    df = spark.createDataFrame(data, "doc_id bigint, text string, source string, cut int")
+    stats = {r.source_key: r for r in tr.source_stats(df, "text", "source").collect()}
+    assert stats["c"].open_rate > tr.NATURAL_OPEN_RATE and stats["h"].open_rate > tr.NATURAL_OPEN_RATE
+    assert (list(stats["c"].char_limits), list(stats["h"].char_limits) + list(stats["h"].byte_limits)) == ([40], [])
+    found = {r.doc_id for r in tr.found(tr.score(df, sample_rows=1200)).collect()}
+    hit = [i in found for i, text, s, cut in data if s == "c" and cut]
+    false = [i in found for i, text, s, cut in data if s in "ch" and not cut]
+    assert sum(hit) / len(hit) > 0.9 and sum(false) / len(false) < 0.1
+
+
+def test_limits_of_texts_that_are_open_by_nature():
+    rnd = random.Random(2)
+    body = Counter(max(3, round(rnd.gauss(40, 14))) for _ in range(4000))
+    assert tr.find_limits(dict(body), natural=True) == []
+    assert tr.find_limits({x: n for x, n in ((4, 224), (5, 180), (6, 30), (9, 40), (12, 75), (15, 110), (18, 100))}, natural=True) == []
+    assert [x for _, x in tr.find_limits(dict(body + Counter({48: 600})), natural=True)] == [48]
+    soft = Counter(min(x, 50 - rnd.randrange(tr.SOFT)) if x > 50 else x for x in (max(3, round(rnd.gauss(60, 20))) for _ in range(4000)))
+    found = [x for _, x in tr.find_limits(dict(soft), natural=True)]
+    assert found == [50]
