@@ -6,7 +6,7 @@ changes, never above the source's cap. Sampling then uses every document ``floor
 remaining probability, decided by a hash of its id, so a rerun of a lost task gives the same sample.
 
 Cells are few (the product of the categories) and independent of the number of documents. Up to ``MAX_CELLS`` they are
-raked on the driver; beyond it the same rounds run as joins and aggregations, cut by tables in the checkpoint folder.
+raked on the driver; beyond it the same rounds and steps run as joins and aggregations, cut by tables in the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import tokenizer
@@ -22,6 +22,7 @@ from gridloom.session import checkpoint_dir
 
 MAX_CELLS = 200_000
 ROUNDS = 60
+STEPS = 8  # of scaling within a round's marginal, as caps bite
 TOLERANCE = 1e-7
 
 
@@ -39,7 +40,7 @@ def cells_of(tokens: DataFrame) -> DataFrame:
 def _rake(weight: np.ndarray, tokens: np.ndarray, group: np.ndarray, target: np.ndarray, cap: np.ndarray) -> np.ndarray:
     """Scales the weights of each group to its target, again over the uncapped cells where caps bite."""
     weight = weight.copy()
-    for _ in range(8):
+    for _ in range(STEPS):
         have = np.bincount(group, weight * tokens, len(target))
         fixed = weight >= cap * (1 - 1e-12)
         held = np.bincount(group, np.where(fixed, weight * tokens, 0.0), len(target))
@@ -102,26 +103,49 @@ def calibrate(cells: DataFrame, target: DataFrame) -> DataFrame:
     return spark.createDataFrame([(r.source, r.lang, r.topic, r.n_docs, r.tokens, r.share, r.cap, float(w)) for r, w in zip(rows, weight, strict=True)], schema)
 
 
-def _calibrate_large(part: DataFrame, total: float, folder: str, rounds: int = 12) -> DataFrame:
-    """The same raking as DataFrame rounds, each written to the shared folder so that the plan stays short."""
+def _calibrate_large(part: DataFrame, total: float, folder: str) -> DataFrame:
+    """``fit`` as DataFrame steps, each written to the shared folder so that the plan stays short; only the last two are kept."""
     spark = part.sparkSession
-    part.withColumn("weight", F.least(F.lit(1.0), F.col("cap"))).write.parquet(f"{folder}/round0")
+    columns = [*part.columns, "weight"]
     sums = part.groupBy("source").agg(F.sum("tokens").alias("t"), F.max("share").alias("s"), F.max("cap").alias("c"))
     reach = float(sums.agg(F.sum(F.least(F.col("t") * F.col("c"), F.col("s") * total))).first()[0])
     scale = reach / max(float(part.agg(F.sum("tokens")).first()[0]), 1.0)
-    for i in range(rounds):
-        current = spark.read.parquet(f"{folder}/round{i}")
+    written: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{folder}/step{len(written)}"
+        df.write.parquet(path)
+        written.append(path)
+        if len(written) > 2:
+            old = spark._jvm.org.apache.hadoop.fs.Path(written[-3])
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        return spark.read.parquet(path)
+
+    start = F.when(F.col("cap") > 0, F.least(F.lit(1.0), F.col("cap"))).otherwise(0.0)
+    current = keep(part.withColumn("weight", start).withColumn("before", start))
+    for _ in range(ROUNDS):
         for name in ("topic", "lang", "source"):
-            goal = F.max("share") * total if name == "source" else F.sum("tokens") * scale
-            held = F.sum(F.when(F.col("weight") >= F.col("cap"), F.col("weight") * F.col("tokens")).otherwise(0.0))
-            have = current.groupBy(F.col(name).alias("__g")).agg(F.sum(F.col("weight") * F.col("tokens")).alias("__have"), held.alias("__held"), goal.alias("__goal"))
-            free = F.col("__have") - F.col("__held")
-            grow = F.when(free > 0, (F.col("__goal") - F.col("__held")) / free).otherwise(1.0)
-            factor = F.when(F.col("__have") <= 0, 1.0).when(F.col("__have") < F.col("__goal"), F.when(F.col("weight") >= F.col("cap"), 1.0).otherwise(grow)).otherwise(F.col("__goal") / F.col("__have"))
-            columns = current.columns
-            current = current.join(have, F.col(name) == F.col("__g")).withColumn("weight", F.least(F.col("cap"), F.col("weight") * factor)).select(*columns)
-        current.write.parquet(f"{folder}/round{i + 1}")
-    return spark.read.parquet(f"{folder}/round{rounds}")
+            for _ in range(STEPS):
+                current = keep(_step(current, name, F.max("share") * total if name == "source" else F.sum("tokens") * scale).select(*columns, "before", "moved"))
+                if not current.where("moved").take(1):
+                    break
+        if (current.agg(F.max(F.abs(F.col("weight") - F.col("before")))).first()[0] or 0.0) < TOLERANCE:
+            break
+        current = current.withColumn("before", F.col("weight"))
+    return current.select(*columns)
+
+
+def _step(current: DataFrame, name: str, goal: Column) -> DataFrame:
+    """One step of ``_rake``; ``moved`` says which weights it changed."""
+    fixed = F.col("weight") >= F.col("cap") * (1 - 1e-12)
+    used = F.col("weight") * F.col("tokens")
+    have = current.groupBy(F.col(name).alias("__g")).agg(F.sum(used).alias("__have"), F.sum(F.when(fixed, used).otherwise(0.0)).alias("__held"), goal.alias("__goal"))
+    free = F.col("__have") - F.col("__held")
+    grow = F.when(fixed, 1.0).when(free > 0, (F.col("__goal") - F.col("__held")) / free).otherwise(1.0)
+    factor = F.when(F.col("__have") <= 0, 1.0).when(F.col("__have") < F.col("__goal"), grow).otherwise(F.col("__goal") / F.col("__have"))
+    new = F.least(F.col("cap"), F.col("weight") * factor)
+    scaled = current.join(have, F.col(name) == F.col("__g")).withColumn("__new", new)
+    return scaled.withColumn("moved", F.abs(F.col("__new") - F.col("weight")) > 1e-12 * F.col("weight")).withColumn("weight", F.col("__new"))
 
 
 def sample(tokens: DataFrame, calibrated: DataFrame, seed: int = 11) -> DataFrame:
@@ -133,14 +157,15 @@ def sample(tokens: DataFrame, calibrated: DataFrame, seed: int = 11) -> DataFram
 
 
 def short_sources(calibrated: DataFrame, cells: DataFrame, target: DataFrame) -> DataFrame:
-    """Sources of ``target`` that cannot reach their share: fitting leaves all their cells at the cap (or they have none), confirmed by the exact count."""
-    total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
-    at_cap = calibrated.groupBy("source").agg(F.bool_and((F.col("weight") >= F.col("cap") * (1 - 1e-9)) | (F.col("tokens") == 0)).alias("full"), F.sum("tokens").alias("tokens"))
-    total_value = total.first()[0]
+    """Sources of ``target`` that cannot reach their share even with all their cells at the cap, or that have none.
+
+    The exact count decides. The fitted weights are not asked: raking may end before such a source's cells are all at the cap.
+    """
+    total_value = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total")).first()[0]
+    have = calibrated.groupBy("source").agg(F.sum("tokens").alias("tokens"))
     return (
         target.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap"))
-        .join(at_cap, "source", "left")
-        .where(F.coalesce("full", F.lit(True)))
+        .join(have, "source", "left")
         .where(F.coalesce("tokens", F.lit(0)) * F.col("cap") < F.col("share") * F.lit(total_value))
         .select("source")
     )

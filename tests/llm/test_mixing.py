@@ -74,3 +74,28 @@ def test_null_texts_count_as_no_tokens(spark):
     docs = spark.createDataFrame([(1, None, "s", None, None), (2, "a b", "s", "en", "de")], "doc_id bigint, text string, source string, lang string, target_lang string")
     got = sorted(map(tuple, mixing.document_tokens(docs, "target_lang").collect()))
     assert got == [(1, "s", "", "", 0), (2, "s", "en", "de", 2)]
+
+
+def skewed(spark):
+    """Cells of very unequal size in which caps bite late and sources fall short, with their targets."""
+    rnd = np.random.default_rng(1)
+    data = [(f"s{s}", f"l{lang}", f"t{t}", 1, int(10 ** rnd.uniform(0, 5))) for s in range(5) for lang in range(4) for t in range(6) if rnd.random() < 0.5]
+    cells = spark.createDataFrame(data, "source string, lang string, topic string, n_docs bigint, tokens bigint")
+    return cells, target(spark, (("s0", 0.1, 1), ("s1", 0.4, 2), ("s2", 0.2, 3), ("s3", 0.25, 1), ("s4", 0.05, 1)))
+
+
+def test_the_distributed_way_takes_the_same_steps(spark, monkeypatch):
+    cells, goal = skewed(spark)
+    monkeypatch.setattr(mixing, "ROUNDS", 6)
+    near = {(r.source, r.lang, r.topic): r.weight for r in mixing.calibrate(cells, goal).collect()}
+    monkeypatch.setattr(mixing, "MAX_CELLS", 3)
+    far = {(r.source, r.lang, r.topic): r.weight for r in mixing.calibrate(cells, goal).collect()}
+    assert far.keys() == near.keys()
+    for k, v in near.items():
+        assert far[k] == pytest.approx(v, rel=1e-9)
+
+
+def test_short_sources_do_not_wait_for_the_fit(spark):
+    cells, goal = skewed(spark)
+    early = mixing.calibrate(cells, goal).withColumn("weight", F.col("cap") * (1 - 1e-6))  # raking that ended before the caps
+    assert {r.source for r in mixing.short_sources(early, cells, goal).collect()} == {"s1", "s3"}
