@@ -2,7 +2,8 @@
 
 ``profile_columns``: per column of a table its rows, nulls, extrema, distinct count and pattern violations. Every column
 chunk is judged by its footer; chunks whose statistics are exact are never read. Distinct candidates come from
-dictionary pages; only chunks that fell back to plain pages, or whose dictionary holds a violating candidate, are read.
+dictionary pages; only chunks that fell back to plain pages, whose dictionary holds a violating candidate, or may hold
+an unused entry, are read.
 
 ``load_issues``: per load and column the loads whose nulls, values or distribution stand out. Files all of whose chunks
 are decided by their footers (one load, and all null or one single value) give their value counts from there; the rest
@@ -97,6 +98,14 @@ def profile_columns(df: DataFrame, columns: Sequence[str], patterns: dict[str, s
     )
 
 
+def _all_used(file, name, stats, values) -> bool:  # noqa: ANN001
+    """Whether a dictionary page's entries all occur: Arrow writes unused ones of dictionary-typed columns, and extrema show those of others."""
+    if pa.types.is_dictionary(file.schema_arrow.field(name).type) or stats is None or not stats.has_min_max:
+        return False
+    ends = [v.encode("utf-8") if isinstance(v, str) else v for v in (stats.min, stats.max)]
+    return [footer.as_text(v) for v in ends] == [footer.as_text(v) for v in (min(values), max(values))]
+
+
 def _profile_chunk(file, f, g, n_rows, chunk, name, is_number, pattern, pc) -> pa.RecordBatch:  # noqa: ANN001, PLR0913
     """One chunk's profile; reads its data pages only if footer and dictionary leave something open."""
     stats = chunk.statistics
@@ -113,7 +122,7 @@ def _profile_chunk(file, f, g, n_rows, chunk, name, is_number, pattern, pc) -> p
         texts = None
     test = re.compile(pattern) if pattern else None
     violations = 0
-    scan = texts is None or nulls is None
+    scan = texts is None or nulls is None or bool(texts) and not _all_used(file, name, stats, values)
     if texts is not None and not exact and not is_number:
         low, high = (min(texts), max(texts)) if texts else (None, None)
     elif not exact:
@@ -122,6 +131,8 @@ def _profile_chunk(file, f, g, n_rows, chunk, name, is_number, pattern, pc) -> p
         scan = True
     if scan:
         column = file.read_row_group(g, columns=[name]).column(0)
+        if pa.types.is_dictionary(column.type):
+            column = column.cast(column.type.value_type)
         nulls = column.null_count
         counts = pc.value_counts(column)
         pairs = [(c["values"].as_py(), c["counts"].as_py()) for c in counts]

@@ -39,6 +39,15 @@ def test_profile_matches_the_values(spark, tmp_path):
     assert got["id"].n_scanned < got["id"].n_chunks  # footers and dictionaries were enough for a part
 
 
+def test_unused_dictionary_entries_are_no_values(spark, tmp_path):
+    kinds = {"s": (["aaa", "bbb", "zzz"], pa.string()), "n": ([1, 2, 9], pa.int64())}
+    made = {c: pa.DictionaryArray.from_arrays(pa.array([0, 1, None, 1], pa.int8()), pa.array(v, t)) for c, (v, t) in kinds.items()}
+    write(tmp_path / "a.parquet", made)
+    write(tmp_path / "b.parquet", {"s": pa.array(["aaa", "bbb"]), "n": pa.array([1, 2], pa.int64())})
+    got = profile.profile_columns(spark.read.parquet(str(tmp_path)), ["s", "n"])
+    assert rows(got, "column_name", "n_rows", "n_nulls", "n_distinct", "min_value", "max_value", "n_violations", "n_scanned") == [("n", 6, 1, 2, "1", "2", None, 0), ("s", 6, 1, 2, "aaa", "bbb", None, 1)]
+
+
 def test_dictionary_pages(tmp_path):
     path = write(tmp_path / "a.parquet", {"x": pa.array([3, 1, None, 3, 2], pa.int64()), "s": pa.array(["b", "a", None, "b", "a"])})
     with footer.open_file(path) as f:
