@@ -113,7 +113,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Whole-table profile of weituo and chengjiao columns, mostly from footers and dictionaries."""
+    """Profile over all rows of the columns that the SQL lists, mostly from footers and dictionaries.
+
+    Left out: trade_date, load_id and recv_time of both tables, buy_order_num and sell_order_num of chengjiao.
+    """
     out = None
     for name, columns, patterns in (
         ("weituo", ["symbol", "time_ms", "order_num", "channel", "price", "side", "volume", "money", "type"], {"symbol": r"\d{6}\.XSH[GE]", "side": "49|50"}),
