@@ -184,6 +184,11 @@ def q_A6_ohlc(spark: SparkSession, d: str) -> DataFrame:
     return out(_dense(spark, d, "prices").where("open_price_min is not null"))
 
 
+def q_A6_ohlc_grid(spark: SparkSession, d: str) -> DataFrame:
+    """All 242 labels, those without priced trades included."""
+    return out(_dense(spark, d, "prices"))
+
+
 def q_A8_first_last(spark: SparkSession, d: str) -> DataFrame:
     """First and last volume of a cell in source order (position = event id)."""
     order = ("time_ms", "pos")
@@ -261,6 +266,11 @@ def q_V4_participation_minute(spark: SparkSession, d: str) -> DataFrame:
     return out(_dense(spark, d, "participation").where("participating_order_count_min is not null"))
 
 
+def q_V4_participation_grid(spark: SparkSession, d: str) -> DataFrame:
+    """All 242 labels, those without participating orders included."""
+    return out(_dense(spark, d, "participation"))
+
+
 def q_V5_whole_orders(spark: SparkSession, d: str) -> DataFrame:
     """Dense metrics over whole orders."""
     return out(_dense(spark, d, "whole_orders"))

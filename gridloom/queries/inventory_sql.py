@@ -145,3 +145,9 @@ SQL = {
         CASE WHEN EXISTS (SELECT 1 FROM r o WHERE o.t <> d.t AND o.trade_date = d.trade_date) THEN 0 ELSE coalesce(r.n, 0) END AS n_wrong_dates
         FROM d LEFT JOIN r ON r.t = d.t AND r.trade_date IS NOT DISTINCT FROM d.trade_date LEFT JOIN m ON m.t = d.t AND m.trade_date = d.trade_date LEFT JOIN e ON e.t = d.t AND e.trade_date = d.trade_date""",
 }
+
+# the same cells on the full grid
+for _name, _cells in (("q_A6_ohlc_grid", "q_A6_ohlc"), ("q_V4_participation_grid", "q_V4_participation_minute")):
+    SQL[_name] = f"""WITH {universe('chengjiao')}, {GRID}, s AS ({SQL[_cells]})
+    SELECT strftime(g.trade_date, '%Y-%m-%d') AS trade_date, g.symbol AS symbol, g.minute_code AS minute_code, s.* EXCLUDE (trade_date, symbol, minute_code)
+    FROM g LEFT JOIN s ON s.trade_date = strftime(g.trade_date, '%Y-%m-%d') AND s.symbol = g.symbol AND s.minute_code = g.minute_code"""
