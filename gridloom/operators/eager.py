@@ -57,7 +57,8 @@ def eager_join_aggregate(
     Defined results. Null keys match nothing (SQL); with left/full their rows count once, unmatched. Null values are
     skipped by sums and extremes; a group whose values are all null gives null. Empty inputs give the empty or the
     one-sided result. Repeated rows count each time. Other columns of the inputs, clashing names included, are ignored.
-    Products are decimal(38,0) for integers (an overflow is an error under ANSI, never a wrapped value).
+    Sums and products of integers are decimal(38,0); those of decimals keep their scale (the scales of both sides added, for a
+    product). They are computed as whole numbers of the smallest unit: an overflow is an error under ANSI, never a wrapped value.
     """
     if how not in {"inner", "left", "full"}:
         raise ValueError(f"how must be inner, left or full: {how}")
@@ -71,12 +72,8 @@ def eager_join_aggregate(
     rs = _state(right, right_on, by_right, sums_r, ext_r, "r")
     keys = [f"__k{i}" for i in range(len(left_on))]
     joined = ls.join(rs, on=keys, how=how)
-    integer = {"tinyint", "smallint", "int", "bigint"}
     types_l, types_r = dict(left.dtypes), dict(right.dtypes)
 
-    def wide(c: Column, kind: str) -> Column:
-        return c.cast(WIDE) if kind in integer or kind.startswith("decimal") else c
-
     n_l, n_r = F.col("__l_n"), F.col("__r_n")
     many_l = F.coalesce(n_l, F.lit(1)).cast(WIDE)
     many_r = F.coalesce(n_r, F.lit(1)).cast(WIDE)
@@ -85,12 +82,11 @@ def eager_join_aggregate(
         if a.kind == "count":
             value = F.sum((many_l * many_r).cast(WIDE)).cast(WIDE)
         elif a.kind == "sum_left":
-            value = F.sum(_times(wide(F.col(f"__l_sum_{a.left}"), types_l[a.left]), many_r, types_l[a.left] in integer))
+            value = _sum_of_products(F.col(f"__l_sum_{a.left}"), types_l[a.left], many_r, "bigint")
         elif a.kind == "sum_right":
-            value = F.sum(_times(wide(F.col(f"__r_sum_{a.right}"), types_r[a.right]), many_l, types_r[a.right] in integer))
+            value = _sum_of_products(F.col(f"__r_sum_{a.right}"), types_r[a.right], many_l, "bigint")
         elif a.kind == "sum_product":
-            whole = types_l[a.left] in integer and types_r[a.right] in integer
-            value = F.sum(_times(wide(F.col(f"__l_sum_{a.left}"), types_l[a.left]), wide(F.col(f"__r_sum_{a.right}"), types_r[a.right]), whole))
+            value = _sum_of_products(F.col(f"__l_sum_{a.left}"), types_l[a.left], F.col(f"__r_sum_{a.right}"), types_r[a.right])
         elif a.kind in {"min_left", "max_left", "min_right", "max_right"}:
             f, side = a.kind.split("_")
             column = a.left if side == "left" else a.right
@@ -105,8 +101,27 @@ def eager_join_aggregate(
     return joined.groupBy(*groups).agg(*out)
 
 
-def _times(a: Column, b: Column, whole: bool) -> Column:
-    return (a * b).cast(WIDE) if whole else a * b.cast("double")
+def _scale(kind: str) -> int | None:
+    """Digits after the point of an exact type; None for doubles and the like."""
+    if kind in {"tinyint", "smallint", "int", "bigint"}:
+        return 0
+    return int(kind.rstrip(")").split(",")[1]) if kind.startswith("decimal") else None
+
+
+def _units(c: Column, scale: int) -> Column:
+    """An exact number as a whole number of its smallest unit; by its text, as a decimal product would cut the scale."""
+    return c.cast(WIDE) if not scale else F.concat(c.cast("string"), F.lit(f"E{scale}")).cast(WIDE)
+
+
+def _sum_of_products(a: Column, kind_a: str, b: Column, kind_b: str) -> Column:
+    scale_a, scale_b = _scale(kind_a), _scale(kind_b)
+    if scale_a is None or scale_b is None:
+        return F.sum(a.cast("double") * b.cast("double"))
+    scale = scale_a + scale_b
+    if scale > 38:
+        raise ValueError(f"a product of {kind_a} and {kind_b} has more than 38 digits after the point")
+    total = F.sum((_units(a, scale_a) * _units(b, scale_b)).cast(WIDE)).cast(WIDE)
+    return total if not scale else F.concat(total.cast("string"), F.lit(f"E-{scale}")).cast(f"decimal(38,{scale})")
 
 
 def key_shares(tables: dict[str, DataFrame], by: str, key: str) -> DataFrame:

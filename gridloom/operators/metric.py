@@ -45,17 +45,24 @@ class MetricSpec:
 
 @dataclass(frozen=True)
 class MetricGroup:
-    """Metrics over the same inputs: one preparation, one scan, one aggregation. ``prepare`` maps the inputs to events."""
+    """Metrics over the same inputs: one preparation, one scan, one aggregation. ``prepare`` maps the inputs to events.
+
+    An event without time is an error (P10); ``null_time="off_axis"`` takes tables known to hold such rows: they are then in
+    no minute, like events outside the sessions, and still open their symbol's grid.
+    """
 
     metrics: tuple[MetricSpec, ...]
     prepare: Callable[[dict[str, DataFrame]], DataFrame] | None = None
     include_pre_market: bool = True
     include_post_market: bool = False
+    null_time: str = "raise"
     cell_columns: tuple[str, ...] = field(default=())
 
     def __post_init__(self) -> None:
         if not self.metrics:
             raise ValueError("a group needs a metric")
+        if self.null_time not in {"raise", "off_axis"}:
+            raise ValueError(f"null_time must be raise or off_axis: {self.null_time}")
         names = [m.name for m in self.metrics]
         if len(set(names)) != len(names):
             raise ValueError(f"repeated metric names {names}")
@@ -80,9 +87,18 @@ def require_events(events: DataFrame) -> DataFrame:
     return events.withColumn("symbol", F.when(F.col("symbol").isNull(), F.raise_error(F.lit("event without symbol")).cast("string")).otherwise(F.col("symbol")))
 
 
+def event_code(group: MetricGroup) -> Column:
+    """Minute code of an event's ``time_ms``; a null time raises (P10) unless the group takes it as off the axis."""
+    t = F.col("time_ms")
+    code = minute_code_unchecked(t, group.include_pre_market, group.include_post_market)
+    if group.null_time == "off_axis":
+        return F.coalesce(code, F.lit(-1))
+    return F.when(t.isNull(), F.raise_error(F.lit("event without time_ms")).cast("int")).otherwise(code)
+
+
 def aggregate_minutes(events: DataFrame, group: MetricGroup, code: Column | None = None) -> DataFrame:
     """Sparse cells (D6) of all metrics in one aggregation; off-axis events are dropped."""
-    c = minute_code_unchecked(F.col("time_ms"), group.include_pre_market, group.include_post_market) if code is None else code
+    c = event_code(group) if code is None else code
     on_axis = require_events(events).withColumn("minute_code", c).where(F.col("minute_code") >= 0)
     return on_axis.groupBy(*CELL).agg(*[_typed(m.aggregate(), m).alias(m.name) for m in group.metrics])
 
@@ -129,11 +145,10 @@ def compute(inputs: dict[str, DataFrame], group: MetricGroup) -> DataFrame:
     names = group.metrics[0].inputs
     used = {n: inputs[n] for n in names}
     empty = {m.name: m.empty_value for m in group.metrics}
-    code = minute_code_unchecked(F.col("time_ms"), group.include_pre_market, group.include_post_market)
     if group.prepare is None:
         if len(used) > 1:
             raise ValueError("a group over several inputs needs prepare")
-        events = require_events(used[names[0]]).withColumn("minute_code", F.coalesce(code, F.lit(-1)))
+        events = require_events(used[names[0]]).withColumn("minute_code", event_code(group))
         return _open_labels(events.groupBy(*CELL).agg(*[_typed(m.aggregate(), m).alias(m.name) for m in group.metrics]), empty, N_LABELS)
     sparse = aggregate_minutes(group.prepare(used), group)
     return densify(sparse, universe(list(used.values())), empty)

@@ -121,7 +121,10 @@ SQL = {
     "q_L1_lineitem_minutes": dense("li", ("li",), {"quantity_min": ("CAST(sum(volume) AS BIGINT)", "0"), "orders_min": ("count(DISTINCT l_orderkey)", "0")}, "li AS (SELECT DATE '2024-01-02' AS trade_date, l_returnflag || l_linestatus AS symbol, (l_orderkey * 7919 + l_linenumber::BIGINT * 104729) % 86400000 AS time_ms, CAST(l_quantity AS BIGINT) AS volume, l_orderkey FROM lineitem)"),
     "q_T1_stream_minutes": cells("chengjiao", "CAST(sum(volume) AS BIGINT) AS volume, count(*) AS n"),
     "q_S2_logical_cancels": f"SELECT {DATE}, symbol, time_ms, order_num, price / 10000.0::DOUBLE AS price, volume, round((price / 10000.0::DOUBLE) * volume::DOUBLE, 4) AS money FROM chedan",
-    "q_S4_field_info": "SELECT * FROM (VALUES ('symbol', 'string', NULL, true), ('price', 'int64', 10000, true), ('volume', 'uint32', NULL, true), ('money', 'derived', NULL, true)) t(column_name, physical_type, scale, normalized)",
+    # from the input contract: normalised is what was divided by a scale
+    "q_S4_field_info": """SELECT t.table_name, c.column_name, CASE WHEN c.column_name = 'money' AND t.table_name = 'chedan' THEN 'derived' ELSE c.physical_type END AS physical_type,
+      CASE WHEN c.column_name = 'price' OR c.column_name = 'money' AND t.table_name <> 'chedan' THEN 10000 END AS scale, c.column_name = 'price' OR c.column_name = 'money' AND t.table_name <> 'chedan' AS normalized
+      FROM (VALUES ('weituo'), ('chengjiao'), ('chedan')) t(table_name), (VALUES ('symbol', 'string'), ('trade_date', 'date32[day]'), ('time_ms', 'uint32'), ('price', 'int64'), ('volume', 'uint32'), ('money', 'int64')) c(column_name, physical_type)""",
     "q_S6_date_completeness": f"""WITH have AS ({" UNION ".join(f"SELECT '{t}' AS table_name, trade_date FROM {t}" for t in ("weituo", "chengjiao", "chedan", "minute_volume"))})
       SELECT table_name, {DATE} FROM (SELECT t.table_name, d.trade_date FROM (SELECT DISTINCT trade_date FROM have) d, (VALUES ('weituo'), ('chengjiao'), ('chedan'), ('minute_volume')) t(table_name) EXCEPT SELECT table_name, trade_date FROM have)""",
     "q_S10_publish": f"""WITH {coded('chengjiao')}, {universe('chengjiao')}, {GRID}, s AS (SELECT trade_date, symbol, minute_code, CAST(sum(volume) AS BIGINT) AS v FROM c GROUP BY ALL)

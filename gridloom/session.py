@@ -29,16 +29,26 @@ def local_session(cores: int = 4, shuffle_partitions: int = 8, **conf: str) -> S
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The shared folder of the cluster (``spark.checkpoint.dir``); a temporary one only where it is unset and Spark runs in this process alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
+        if current.isDefined():
+            folder = current.get()
+        elif is_local(spark.sparkContext.master):
+            folder = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process and so see the same disk."""
+    return master == "local" or master.startswith("local[")
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """Reads one of the named Parquet tables of a data directory."""
     return spark.read.parquet(f"{directory}/{name}.parquet")

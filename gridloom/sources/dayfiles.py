@@ -8,7 +8,7 @@ the requested logical ones are read.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
@@ -52,18 +52,33 @@ def physical_columns(logical: Sequence[str], available: Sequence[str], dataset:
 
 
 def field_info(path: str | Path, logical: Sequence[str], dataset: str) -> dict[str, dict[str, object]]:
-    """Physical type, scale and whether a column is normalised; derived money has the type ``derived``."""
-    schema = pq.read_schema(path)
-    meta = footer.key_values(str(path))
+    """Physical type, scale and whether values were made by dividing by that scale; derived money has the type ``derived``."""
+    with footer.open_file(str(path)) as f:
+        schema = pq.read_schema(f)
+    meta = {k.decode(): v for k, v in (schema.metadata or {}).items()}
     out: dict[str, dict[str, object]] = {}
     for name, sources in physical_columns(logical, schema.names, check_dataset(dataset)).items():
-        derived = name == "money" and sources != ("money",)
-        kind = "derived" if derived else str(schema.field(sources[0]).type)
-        scale = int(meta[SCALED[name]]) if name in SCALED and SCALED[name] in meta and not derived and pa.types.is_integer(schema.field(sources[0]).type) else None
-        out[name] = {"physical_type": kind, "scale": scale, "normalized": name in (*SCALED, "time_ms", "timestamp", "trade_date", "type", "symbol", *UNSIGNED)}
+        if name == "money" and sources != ("money",):
+            out[name] = {"physical_type": "derived", "scale": None, "normalized": False}
+            continue
+        kind = schema.field(sources[-1] if name == "timestamp" else sources[0]).type  # of a timestamp: the time's
+        scale = int(meta[SCALED[name]]) if SCALED.get(name) in meta and pa.types.is_integer(kind) else None
+        out[name] = {"physical_type": str(kind), "scale": scale, "normalized": scale is not None}
     return out
 
 
+def field_infos(spark: SparkSession, files: Sequence[str], logical: Sequence[str], dataset: str) -> DataFrame:
+    """S4 over all files, read on the executors: ``column_name, physical_type, scale, normalized``, once for each way it occurs."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(c, i["physical_type"], i["scale"], i["normalized"]) for path in batch.column(0).to_pylist() for c, i in field_info(path, logical, dataset).items()]
+            types = (pa.string(), pa.string(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["column_name", "physical_type", "scale", "normalized"])
+
+    return footer.file_table(spark, files).mapInArrow(read, "column_name string, physical_type string, scale int, normalized boolean").distinct()
+
+
 def check_price_policy(path: str | Path, wanted: str | None) -> None:
     """The file must be written under the price policy a metric asks for."""
     if wanted is None:

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import datetime as dt
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, SparkSession
 
 DICTIONARY_ENCODINGS = {2, 8}  # fixed values of the format: PLAIN_DICTIONARY, RLE_DICTIONARY
 INTEGERS = {"INT32", "INT64"}
@@ -32,6 +33,12 @@ def open_file(path: str) -> pa.NativeFile:
     return fs.LocalFileSystem().open_input_file(path)
 
 
+def file_table(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+    """Files as a table of one column ``path``, spread so that each task reads a few footers."""
+    df = spark.createDataFrame([(f,) for f in files], "path string")
+    return df.repartition(max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism)))
+
+
 def key_values(path: str) -> dict[str, str]:
     """Key/value metadata of a file: scales, encodings, policy version."""
     with open_file(path) as f:

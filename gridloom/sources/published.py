@@ -93,7 +93,7 @@ def write_days(dense: DataFrame, root: str, metric: str, config: RunConfig) -> N
     for k, v in compression_options(config.compression, config.compression_level).items():
         writer = writer.option(k, v)
     writer.parquet(str(metric_root(root, metric)))
-    spark.catalog.clearCache()
+    spark.catalog.refreshByPath(str(metric_root(root, metric)))
 
 
 def read_metric(spark: SparkSession, root: str, metric: str) -> DataFrame:

@@ -64,3 +64,20 @@ def test_key_shares(spark):
     got = rows(eager.key_shares({"a": a, "b": b}, "trade_date", "symbol"))
     assert got == sorted([("a", "d", "x", 2, 3), ("a", "d", None, 1, 3), ("a", "e", "y", 1, 1), ("b", "d", "x", 1, 2), ("b", "d", None, 1, 2)], key=repr)
     assert rows(eager.key_shares({"a": a.limit(0), "b": b.limit(0)}, "trade_date", "symbol")) == []
+
+
+def test_decimals_keep_their_scale(spark):
+    from decimal import Decimal
+
+    left = spark.sql("select * from values ('a', 0.40bd), ('a', 0.30bd), ('a', -12.35bd), ('b', cast(null as decimal(10,2))) t(k, x)").select("k", F.col("x").cast("decimal(10,2)").alias("x"))
+    right = spark.sql("select * from values ('a', -0.00000001bd), ('a', 2.5bd), ('b', 1bd) t(k, y)").select("k", F.col("y").cast("decimal(20,8)").alias("y"))
+    got = {r.k: r for r in eager.eager_join_aggregate(left, right, ["k"], ["k"], [PairAgg("sl", "sum_left", left="x"), PairAgg("sr", "sum_right", right="y"), PairAgg("sp", "sum_product", left="x", right="y"), PairAgg("lo", "min_left", left="x"), PairAgg("hi", "max_right", right="y")]).collect()}
+    x, y = [Decimal("0.40"), Decimal("0.30"), Decimal("-12.35")], [Decimal("-0.00000001"), Decimal("2.5")]
+    assert (got["a"].sl, got["a"].sr, got["a"].sp) == (2 * sum(x), 3 * sum(y), sum(x) * sum(y))
+    assert (got["a"].lo, got["a"].hi) == (min(x), max(y)) and got["b"].sl is None and got["b"].sr == 1
+    huge = spark.sql("select 'a' k, cast('99999999999999999999999999999999999.5' as decimal(38,1)) x")
+    with pytest.raises(Exception, match="(?i)overflow|cannot be represented|out of range"):
+        eager.eager_join_aggregate(huge, huge, ["k"], ["k"], [PairAgg("sp", "sum_product", left="x", right="x")]).collect()
+    with pytest.raises(ValueError, match="38 digits"):
+        wide = huge.select("k", F.col("x").cast("decimal(38,20)").alias("x"))
+        eager.eager_join_aggregate(wide, wide, ["k"], ["k"], [PairAgg("sp", "sum_product", left="x", right="x")])

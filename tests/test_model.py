@@ -83,6 +83,17 @@ def test_null_algebra(spark):
     assert metric.compute({"chengjiao": df.limit(0)}, group).count() == 0
 
 
+def test_null_times(spark):
+    df = ticks(spark, [("2025-01-02", "a", None, 5, None, 49, 1), ("2025-01-02", "b", 34_200_001, 1, None, 49, 2)])
+    volume = (metric.MetricSpec("v_min", lambda: F.sum("volume")),)
+    for prepare in (None, lambda x: x["chengjiao"]):
+        raises(metric.compute({"chengjiao": df}, metric.MetricGroup(volume, prepare)), "without time_ms")
+        dense = metric.compute({"chengjiao": df}, metric.MetricGroup(volume, prepare, null_time="off_axis"))
+        assert dense.count() == 2 * 242 and rows(dense.where("v_min > 0"), "symbol", "minute_code") == [("b", 1)]
+    with pytest.raises(ValueError, match="null_time"):
+        metric.MetricGroup(volume, null_time="drop")
+
+
 def test_specs():
     for bad in ({"name": "Volume_min"}, {"name": "volume"}, {"name": "v_min", "value_type": "float32"}, {"name": "v_min", "empty_value": 0.5}, {"name": "v_min", "value_type": "uint64", "empty_value": -1}):
         with pytest.raises(ValueError):

@@ -60,8 +60,13 @@ def test_paths(tmp_path):
 def test_day_files(spark, tmp_path):
     path = write(tmp_path, "chengjiao", 20250102, trades(20250102))
     write(tmp_path, "chengjiao", 20250103, trades(20250103), price_scale="37")
-    info = dayfiles.field_info(path, ["price", "volume", "timestamp"], "chengjiao")
-    assert info["price"] == {"physical_type": "int64", "scale": 10000, "normalized": True} and info["timestamp"]["physical_type"] == "date32[day]"
+    info = dayfiles.field_info(path, ["price", "volume", "time_ms", "money"], "chengjiao")
+    assert info["price"] == {"physical_type": "int64", "scale": 10000, "normalized": True} and info["money"]["scale"] == 10000
+    assert info["volume"] == {"physical_type": "uint32", "scale": None, "normalized": False} and info["time_ms"]["physical_type"] == "uint32"
+    doubles = trades(20250109) | {"price": pa.array([10.5] * 10)}
+    assert dayfiles.field_info(write(tmp_path, "chengjiao", 20250109, doubles), ["price"], "chengjiao")["price"] == {"physical_type": "double", "scale": None, "normalized": False}
+    without = {k: v for k, v in trades(20250109).items() if k != "money"}
+    assert dayfiles.field_info(write(tmp_path, "weituo", 20250109, without), ["money"], "weituo")["money"] == {"physical_type": "derived", "scale": None, "normalized": False}
     df = dayfiles.read_days(spark, tmp_path, "chengjiao", [20250102, "20250103"], ["time_ms", "price", "money", "timestamp"])
     assert df.columns == ["time_ms", "price", "money", "timestamp"]
     assert {r[0] for r in rows(df.select(F.round("price", 4)))} == {10.05, round(100_500 / 37, 4)}
