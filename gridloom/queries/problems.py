@@ -95,7 +95,7 @@ def p3_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return drift.changes(drift.schema_history(table(spark, d, "weituo_raw"), table(spark, d, "day_file")))
+    return drift.changes(table(spark, d, "weituo_raw"), table(spark, d, "day_file"))
 
 
 def p4_orders(spark: SparkSession, d: str) -> DataFrame:
