@@ -108,23 +108,27 @@ def p4_orders(spark: SparkSession, d: str) -> DataFrame:
 # --- problem 5: column-level data quality profile
 
 
+P5_COLUMNS = {"weituo": ["money", "volume"], "chengjiao": ["price"]}
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return profile.load_issues({"weituo": (table(spark, d, "weituo"), ["money", "volume"]), "chengjiao": (table(spark, d, "chengjiao"), ["price"])})
+    return profile.load_issues({n: (table(spark, d, n), c) for n, c in P5_COLUMNS.items()})
 
 
-def p5_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Profile over all rows of the columns that the SQL lists, mostly from footers and dictionaries.
+def p5_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Column chunks that footers and dictionaries decide for ``p5_found``, and those that it scans."""
+    parts = [profile.chunk_evidence(table(spark, d, n), "load_id", c).select(F.lit(n).alias("table_name"), "*") for n, c in P5_COLUMNS.items()]
+    return parts[0].unionByName(parts[1]).groupBy("table_name", "column_name").agg(F.count(F.lit(1)).alias("n_chunks"), *[F.count(F.when(F.col("by") == k, 1)).alias(f"n_{k}") for k in ("footer", "dictionary", "scan")], F.sum("n_rows").alias("n_rows"))
 
-    Left out: trade_date, load_id and recv_time of both tables, buy_order_num and sell_order_num of chengjiao.
-    """
+
+def p5_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Profile over all rows of every column of both tables, mostly from footers and dictionaries."""
     out = None
-    for name, columns, patterns in (
-        ("weituo", ["symbol", "time_ms", "order_num", "channel", "price", "side", "volume", "money", "type"], {"symbol": r"\d{6}\.XSH[GE]", "side": "49|50"}),
-        ("chengjiao", ["symbol", "time_ms", "channel", "price", "volume", "money", "side"], {"symbol": r"\d{6}\.XSH[GE]", "side": "49|50"}),
-    ):
-        part = profile.profile_columns(table(spark, d, name), columns, patterns).select(F.lit(name).alias("table_name"), "*")
+    for name in P5_COLUMNS:
+        df = table(spark, d, name)
+        part = profile.profile_columns(df, df.columns, {"symbol": r"\d{6}\.XSH[GE]", "side": "49|50"}).select(F.lit(name).alias("table_name"), "*")
         out = part if out is None else out.unionByName(part)
     return out.drop("n_chunks", "n_scanned")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_symbol_day, p1_fill_by_symbol, p2_found, p2_grid, p3_found, p3_intervals, p4_found, p4_orders, p5_found, p5_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_symbol_day, p1_fill_by_symbol, p2_found, p2_grid, p3_found, p3_intervals, p4_found, p4_orders, p5_found, p5_chunks, p5_profile)}

@@ -105,9 +105,15 @@ UNION ALL SELECT table_name, column_name, load_id, 'shift' FROM prior WHERE n >=
 """
 
 
+PROFILED = {
+    "weituo": ("symbol", "trade_date", "time_ms", "order_num", "channel", "price", "side", "volume", "money", "type", "load_id", "recv_time"),
+    "chengjiao": ("symbol", "trade_date", "time_ms", "buy_order_num", "sell_order_num", "channel", "price", "volume", "money", "side", "load_id", "recv_time"),
+}
+
+
 def _profile_sql() -> str:
     parts = []
-    for name, columns in (("weituo", ["symbol", "time_ms", "order_num", "channel", "price", "side", "volume", "money", "type"]), ("chengjiao", ["symbol", "time_ms", "channel", "price", "volume", "money", "side"])):
+    for name, columns in PROFILED.items():
         for c in columns:
             pattern = {"symbol": r"\d{6}\.XSH[GE]", "side": "49|50"}.get(c)
             bad = f"count(*) FILTER (WHERE {c} IS NOT NULL AND NOT regexp_full_match({c}::VARCHAR, '{pattern}'))" if pattern else "CAST(NULL AS BIGINT)"

@@ -104,6 +104,41 @@ def test_load_issues(spark, tmp_path, one_load_files):
     assert got == issues(loads)
 
 
+def test_middle_buckets_joined_or_sent_are_alike(spark, tmp_path):
+    pairs = [(k, v) for k, vs in cases().items() for v in vs]
+    write(tmp_path / "a.parquet", {"load_id": pa.array([k for k, _ in pairs], pa.int64()), "v": pa.array([v for _, v in pairs], pa.int64())})
+    values = {"t": profile.load_values(spark.read.parquet(str(tmp_path)), "load_id", ["v"])}
+    assert rows(profile.load_statistics(values, broadcast_rows=0)) == rows(profile.load_statistics(values))
+
+
+def test_evidence_chunk_by_chunk(spark, tmp_path):
+    """A file may hold decided and open chunks, and a chunk be decided for one column only."""
+    columns = {"load_id": pa.array([1] * 30 + [2] * 30 + [2] * 15 + [3] * 15, pa.int64()), "v": pa.array([7] * 30 + list(range(100, 130)) + [9] * 30, pa.int64()), "w": pa.array([None] * 60 + list(range(200, 230)), pa.int64())}
+    write(tmp_path / "a.parquet", columns, row_group_size=30)
+    write(tmp_path / "b.parquet", {k: v.slice(0, 30) for k, v in columns.items()}, write_statistics=["load_id"])  # one candidate in the dictionary
+    write(tmp_path / "c.parquet", {k: v.slice(30, 60) for k, v in columns.items()}, row_group_size=60)
+    df = spark.read.parquet(str(tmp_path))
+    got = {(r.path[-9:], r.row_group, r.column_name): (r.load, r.n_rows, r.n_nulls, r.value, r.by) for r in profile.chunk_evidence(df, "load_id", ["v", "w"]).collect()}
+    assert got["a.parquet", 0, "v"] == (1, 30, 0, 7, "footer") and got["a.parquet", 0, "w"] == got["a.parquet", 0, "w"][:1] + (30, 30, None, "footer")
+    assert got["a.parquet", 1, "v"][4] == "scan" and got["a.parquet", 1, "w"][::4] == (2, "footer") and got["a.parquet", 2, "v"][4] == "scan" and got["c.parquet", 0, "v"][4] == "scan"
+    values = profile.load_values(df, "load_id", ["v", "w"])
+    whole = profile.LoadValues(None, df.select("load_id", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("v")) for c in "vw"])).alias("c")).select("c.column_name", "load_id", "c.v"), None)
+    assert rows(profile.load_statistics({"t": values})) == rows(profile.load_statistics({"t": whole}))
+    assert values.decided.count() and values.rest.count() < 2 * df.count()
+
+
+def test_a_table_that_is_more_than_its_files(spark, tmp_path):
+    spark.range(40).select("id", (F.col("id") * 0.75 - 10).alias("x"), (F.col("id") * 1.5 - 20).cast("decimal(10,2)").alias("y"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("s"), F.lit(5).cast("long").alias("load_id"), (F.col("id") % 2).alias("p")).write.partitionBy("p").parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    got = {r.column_name: r for r in profile.profile_columns(df.where("id >= 9 and id < 30"), ["id", "x", "y", "s", "p"], {"s": "[0-9]"}).collect()}
+    assert {r.n_rows for r in got.values()} == {21}
+    assert (got["id"].min_value, got["id"].max_value) == ("9", "29") and (float(got["x"].min_value), float(got["x"].max_value)) == (-3.25, 11.75) and (got["y"].min_value, got["y"].max_value) == ("-6.50", "23.50")
+    assert (got["s"].n_nulls, got["s"].n_distinct, got["s"].n_violations) == (7, 14, 14) and got["p"].n_distinct == 2
+    whole = {r.column_name: r for r in profile.profile_columns(df, ["id", "x", "p"]).collect()}
+    assert whole["id"].n_chunks and whole["p"].n_rows == 40 and (whole["x"].min_value, whole["x"].max_value) == ("-10.0", "19.25") and whole["p"].n_chunks is None
+    assert profile.load_issues({"t": (df.where("id < 25"), ["id"])}).count() == 1 and profile.load_issues({"t": (df.where("id < 19"), ["id"])}).count() == 0
+
+
 def test_empty(spark, tmp_path):
     path = write(tmp_path / "a.parquet", {"load_id": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
     df = spark.read.parquet(path)
