@@ -86,14 +86,24 @@ def line_fields(lines: DataFrame, file_id: str, payload: str, depth: int = DEPTH
 
     A null, damaged or non-object line, one with a repeated name and one without fields give one row with a null path.
     """
-    parsed = lines.select(F.col(file_id).cast("long").alias("file_id"), _members(F.try_parse_json(F.col(payload).cast("string"))).alias("m"))
-    out = parsed.select("file_id", F.explode_outer("m").alias("path", "value"), F.lit(True).alias("new"))
-    for _ in range(depth - 1):
-        own = F.struct("path", "value", F.lit(False).alias("new"))
-        inner = F.transform(F.map_entries(_members(F.col("value"))), lambda e: F.struct(F.concat(F.col("path"), F.lit("."), e["key"]).alias("path"), e["value"].alias("value"), F.lit(True).alias("new")))
-        nested = F.col("new") & F.schema_of_variant("value").startswith("OBJECT")
-        out = out.select("file_id", F.explode(F.when(nested, F.concat(F.array(own), inner)).otherwise(F.array(own))).alias("e")).select("file_id", "e.*")
-    return out.drop("new")
+    text = F.col(payload).cast("string")
+    parsed = lines.select(F.col(file_id).cast("long").alias("file_id"), _members(F.try_parse_json(text)).alias("m"), text.rlike(r"\{[^{]*\{").alias("deep"))
+    flat = F.map_entries("m")
+    entries = F.when(F.col("deep"), _opened(flat, depth - 1)).otherwise(flat)
+    return parsed.select("file_id", F.explode_outer(entries).alias("e")).select("file_id", F.col("e.key").alias("path"), "e.value")
+
+
+def _opened(entries: Column, levels: int) -> Column:
+    """Entries (key, value) with those of nested objects behind their own."""
+    if not levels:
+        return entries
+    none = F.slice(entries, 1, 0)
+
+    def with_inner(e: Column) -> Column:
+        inner = F.transform(_opened(F.map_entries(_members(e["value"])), levels - 1), lambda i: F.struct(F.concat(e["key"], F.lit("."), i["key"]).alias("key"), i["value"].alias("value")))
+        return F.concat(F.array(e), F.when(F.schema_of_variant(e["value"]).startswith("OBJECT"), inner).otherwise(none))
+
+    return F.flatten(F.transform(entries, with_inner))
 
 
 def file_schemas(lines: DataFrame, file_id: str, payload: str) -> DataFrame:
@@ -221,7 +231,7 @@ def flood_all(pairs: Sequence[tuple[Sequence[Field], Sequence[Field]]]) -> list[
     """Converged similarity of every field of the left with every field of the right schema, 1 for the best pair, of many pairs of schemas.
 
     Of each pair of schemas, pairs of nodes joined by edges of one label hand their scores on in equal shares. Fixpoint:
-    s' = normalise(s0 + s + flow(s0 + s)). The graphs are padded to one size and iterated together, each until it no longer changes.
+    s' = normalise(s0 + s + flow(s0 + s)); fields alike in neither name nor values form no pair. The graphs are padded to one size and iterated together, each until it no longer changes.
     """
     found = [np.zeros((len(a), len(b))) for a, b in pairs]
     todo = [k for k, (a, b) in enumerate(pairs) if a and b]
@@ -244,6 +254,7 @@ def flood_all(pairs: Sequence[tuple[Sequence[Field], Sequence[Field]]]) -> list[
         return out
 
     start = pad([g[0] for g in graphs])
+    alike = start > 0
     labels = []
     for name, weight in WEIGHTS.items():
         left, right, nodes = (pad([g[1][name][i] for g in graphs]) for i in range(3))
@@ -259,6 +270,7 @@ def flood_all(pairs: Sequence[tuple[Sequence[Field], Sequence[Field]]]) -> list[
         for (left, left_t, right, right_t, nodes, fan_in, fan_out, weight), s in zip(labels, others, strict=True):
             raw += weight * (left @ ((nodes + s) / fan_in) @ right_t) / fan_out
             after.append(nodes + s + nodes * (left_t @ (base / fan_out) @ right) / fan_in)
+        raw = np.where(alike, raw, 0.0)
         new = raw / top(raw)
         others = [np.where(live, x / top(x), s) for x, s in zip(after, others, strict=True)]
         moved = np.abs(new - fields).max((1, 2), keepdims=True) >= TOLERANCE
