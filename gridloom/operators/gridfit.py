@@ -62,17 +62,22 @@ def grid_regression(
         *[F.sum(_power(e, k)).alias(f"__m{k}") for k in range(1, top + 1)],
         *[F.sum(y * _power(e, k) if k else y).alias(f"__y{k}") for k in range(degree + 3)],
     )
+    # The power sums of one reading follow from it: nulls in their place, made anew behind the next shuffle, cost that shuffle nothing.
+    single = F.col("__m0") == 1
+    derived = {f"__m{k}": _power(F.col("__m1"), k) for k in range(2, top + 1)} | {f"__y{k}": F.col("__y0") * _power(F.col("__m1"), k) for k in range(1, degree + 3)}
+    cells = cells.withColumns({c: F.when(~single, F.col(c)) for c in derived})
     # The first cell of a source also opens the whole grid, so empty labels exist without a second pass over the input.
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("__cell").asc_nulls_first())) == 1
     reach = F.when(first, F.sequence(F.lit(0), F.lit(n_cells - 1))).otherwise(
         F.sequence(F.greatest(F.lit(0), F.col("__cell") - bandwidth), F.least(F.lit(n_cells - 1), F.col("__cell") + bandwidth - 1))
     )
+    opened = cells.select(*keys, "__cell", "__n", "__m0", "__m1", "__y0", *derived, reach.alias("__reach")).withColumns({c: F.when(single, v).otherwise(F.col(c)) for c, v in derived.items()})
     moments = [*[f"__m{k}" for k in range(top + 1)], *[f"__y{k}" for k in range(degree + 3)]]
     scaled = [
         *[(F.coalesce(F.col(f"__m{k}"), F.lit(0)) / F.lit(width**k)).alias(f"__m{k}") for k in range(top + 1)],
         *[(F.coalesce(F.col(f"__y{k}"), F.lit(0.0)) / F.lit(width**k)).alias(f"__y{k}") for k in range(degree + 3)],
     ]
-    offered = cells.select(*keys, "__cell", "__n", *scaled, reach.alias("__reach")).select(*keys, "__cell", "__n", *moments, F.explode("__reach").alias("cell"))
+    offered = opened.select(*keys, "__cell", "__n", *scaled, "__reach").select(*keys, "__cell", "__n", *moments, F.explode("__reach").alias("cell"))
     s = (F.col("__cell") - F.col("cell")).cast("double")
     inside = (F.col("__cell") - F.col("cell")).between(1 - bandwidth, bandwidth)
 
@@ -130,16 +135,23 @@ def _power(c: Column, k: int) -> Column:
     return out
 
 
-def empty_runs(grid: DataFrame, keys: Sequence[str], min_cells: int) -> DataFrame:
+def empty_runs(grid: DataFrame, keys: Sequence[str], min_cells: int, bandwidth: int = 5) -> DataFrame:
     """Longest runs of at least ``min_cells`` successive cells with ``n_obs = 0``: ``keys..., first_cell, last_cell``.
 
-    Works inside the partitioning of the grid (one source at a time, at most n_cells rows each); no further shuffle.
+    Runs are found by the marks of the regression: a cell without any effective support (``n_eff = 0``, so marked
+    ``missing``) has no usable reading within the bandwidth. Such cells are the seeds; a run of ``2 * bandwidth`` or more
+    empty cells holds one, so ``min_cells`` may not be less. Each seeded run is then checked exactly: readings without a
+    usable value end it as well. Works inside the partitioning of the grid (one source at a time, at most n_cells rows
+    each); no further shuffle.
     """
+    if min_cells < 2 * bandwidth:
+        raise ValueError("a run shorter than twice the bandwidth need not hold a cell without support")
     order = Window.partitionBy(*keys).orderBy("cell")
-    empty = grid.where(F.col("n_obs") == 0).select(*keys, "cell", (F.col("cell") - F.row_number().over(order)).alias("__run"))
+    seed = (F.col("mark") == "missing") & (F.col("n_eff") == 0)
+    empty = grid.where(F.col("n_obs") == 0).select(*keys, "cell", seed.alias("__seed"), (F.col("cell") - F.row_number().over(order)).alias("__run"))
     return (
         empty.groupBy(*keys, "__run")
-        .agg(F.min("cell").alias("first_cell"), F.max("cell").alias("last_cell"))
-        .where(F.col("last_cell") - F.col("first_cell") + 1 >= min_cells)
-        .drop("__run")
+        .agg(F.min("cell").alias("first_cell"), F.max("cell").alias("last_cell"), F.bool_or("__seed").alias("__seeded"))
+        .where(F.col("__seeded") & (F.col("last_cell") - F.col("first_cell") + 1 >= min_cells))
+        .drop("__run", "__seeded")
     )

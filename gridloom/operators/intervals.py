@@ -19,7 +19,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.session import stored
+from gridloom.sources import footer
 
 BLOCK = 1 << 16
 
@@ -64,12 +64,33 @@ def subtract(available: DataFrame, processed: DataFrame, stream: Sequence[str])
     return merge(open_parts, stream=stream)
 
 
-def records_in(records: DataFrame, intervals: DataFrame, stream: Sequence[str], seq: str) -> DataFrame:
-    """Records whose number lies in an interval of their stream, each once, all columns kept.
+def records_in(records: DataFrame, intervals: DataFrame, stream: Sequence[str], seq: str, most_intervals: int = 20_000) -> DataFrame:
+    """Records whose number lies in an interval of their stream, each once, all columns kept; null numbers and streams are in none.
 
-    A sweep per (stream, block) marks the numbers covered; no range join, no pairs. Records with a null number or a
-    null stream are in no interval.
+    The least and the greatest number of all intervals go to the scan, which leaves out files and row groups without any of
+    them. Up to ``most_intervals`` intervals (some tens of bytes each) then go to every task, which looks up its records by
+    block: nothing of the records is shuffled. More are swept per (stream, block) with the records' numbers. No range join.
     """
+    ends = intervals.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if not ends.n:
+        return records.limit(0)
+    within = records.where(F.col(seq).between(ends.lo, ends.hi))
+    if ends.n > most_intervals:
+        return _swept(within, intervals, stream, seq)
+    names = [f"__k{i}" for i in range(len(stream))]
+    keys = [F.col(c).alias(n) for c, n in zip(stream, names, strict=True)]
+    # an interval lies in one block, so a record meets the intervals of one (stream, block)
+    by_block = intervals.groupBy(*keys, F.col("block").alias("__block")).agg(F.collect_list(F.struct("lo", "hi")).alias("__parts"))
+    number = F.col(seq).cast("long")
+    match = block_of(number) == F.col("__block")
+    for c, n in zip(stream, names, strict=True):
+        match = match & (within[c] == F.col(n))
+    inside = F.exists("__parts", lambda p: (number >= p["lo"]) & (number <= p["hi"]))
+    return within.join(F.broadcast(by_block), match & inside, "left_semi")
+
+
+def _swept(records: DataFrame, intervals: DataFrame, stream: Sequence[str], seq: str) -> DataFrame:
+    """``records_in`` for any number of intervals: a sweep per (stream, block) marks the numbers covered."""
     names = [f"__k{i}" for i in range(len(stream))]
     keys = [F.col(c).alias(n) for c, n in zip(stream, names, strict=True)]
     numbers = records.where(F.col(seq).isNotNull()).select(*keys, F.col(seq).cast("long").alias("__pos")).distinct().withColumn("__block", block_of(F.col("__pos"))).withColumn("__d", F.lit(0)).withColumn("__is", F.lit(True))
@@ -78,51 +99,49 @@ def records_in(records: DataFrame, intervals: DataFrame, stream: Sequence[str],
     ends = intervals.select(*keys, F.col("block").alias("__block"), F.explode(F.array(up, down)).alias("e")).select(*names, F.col("e.p").alias("__pos"), "__block", F.col("e.d").alias("__d"), F.lit(False).alias("__is"))
     w = Window.partitionBy(*names, "__block").orderBy("__pos").rangeBetween(Window.unboundedPreceding, 0)
     covered = numbers.unionByName(ends).withColumn("__open", F.sum("__d").over(w)).where(F.col("__is") & (F.col("__open") > 0)).select(*names, "__pos")
-    match = (F.col(seq).cast("long") == F.col("__pos"))
+    match = F.col(seq).cast("long") == F.col("__pos")
     for c, n in zip(stream, names, strict=True):
         match = match & (records[c] == F.col(n))
     return records.join(covered, match, "left_semi")
 
 
 def compact(intervals: DataFrame, stream: Sequence[str]) -> DataFrame:
-    """Intervals joined across block edges, ``stream..., lo, hi``: what a report shows."""
-    w = Window.partitionBy(*stream).orderBy("lo")
-    started = intervals.withColumn("__new", F.when(F.lag("hi").over(w) + 1 == F.col("lo"), 0).otherwise(1))
-    return started.withColumn("__g", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*stream, "__g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("__g")
-
-
-#: Which day files a metric reads.
-METRIC_INPUT = {"trade_volume_min": "chengjiao", "trade_count_min": "chengjiao", "order_count_min": "weituo"}
+    """Intervals joined across block edges, ``stream..., lo, hi``: what a report shows.
 
+    Only intervals that touch an edge of their block can join others, at most two a block; all others stay where they are.
+    """
+    touching = (F.col("lo") == F.col("block") * BLOCK) | (F.col("hi") == (F.col("block") + 1) * BLOCK - 1)
+    w = Window.partitionBy(*stream).orderBy("lo")
+    edge = intervals.where(touching)
+    started = edge.withColumn("__new", F.when(F.lag("hi").over(w) + 1 == F.col("lo"), 0).otherwise(1))
+    joined = started.withColumn("__g", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*stream, "__g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("__g")
+    return joined.unionByName(intervals.where(~touching).select(*stream, "lo", "hi"))
 
-def pending_files(day_file: DataFrame, run_log: DataFrame, metric_input: dict[str, str] | None = None) -> DataFrame:
-    """Day files still to be processed, ``metric_name, trade_date, channel, file_id``: per metric, a stream of file numbers.
 
-    Available: the latest ``complete`` delivery (by delivered_at, then delivery, then file_id) of each dataset, date and
-    channel. Processed: those whose content the latest finished ``success`` (by finished_at, then log_id) has read; an
-    unchanged redelivery has the same content and needs no run, a changed one is a new number. Failed, running and
-    unfinished entries count for nothing. Empty tables: without deliveries nothing is pending, without runs everything is.
-    """
-    inputs = metric_input or METRIC_INPUT
-    names = F.create_map(*[x for d in sorted(set(inputs.values())) for x in (F.lit(d), F.array(*[F.lit(m) for m in sorted(inputs) if inputs[m] == d]))])
-    current = (
+def current_deliveries(day_file: DataFrame, metric_input: dict[str, str]) -> DataFrame:
+    """``metric_name, trade_date, channel, file_id``: for each metric the latest ``complete`` delivery (by delivered_at, then
+    delivery, then file_id) of each date and channel of the data set it reads; what there is to be processed."""
+    names = F.create_map(*[x for d in sorted(set(metric_input.values())) for x in (F.lit(d), F.array(*[F.lit(m) for m in sorted(metric_input) if metric_input[m] == d]))])
+    return (
         day_file.where(F.col("file_state") == "complete")
         .groupBy("dataset", "trade_date", "channel")
-        .agg(F.max_by(F.struct("file_id", "content_digest"), F.struct("delivered_at", "delivery", "file_id")).alias("f"))
-        .select(F.explode(F.element_at(names, F.col("dataset"))).alias("metric_name"), "trade_date", F.col("channel").cast("int").alias("channel"), "f.file_id", "f.content_digest")
+        .agg(F.max_by("file_id", F.struct("delivered_at", "delivery", "file_id")).alias("file_id"))
+        .select(F.explode(F.element_at(names, F.col("dataset"))).alias("metric_name"), "trade_date", F.col("channel").cast("int").alias("channel"), "file_id")
     )
+
+
+def processed_deliveries(day_file: DataFrame, run_log: DataFrame, metric_input: dict[str, str]) -> DataFrame:
+    """``metric_name, file_id``: numbers of all deliveries whose content the latest finished ``success`` (by finished_at, then
+    log_id) of their metric, date and channel has read; unchanged redeliveries have the same content and so are among them.
+    Failed, running and unfinished entries count for nothing."""
     last = (
-        run_log.where((F.col("run_status") == "success") & F.col("finished_at").isNotNull())
+        run_log.where((F.col("run_status") == "success") & F.col("finished_at").isNotNull() & F.col("metric_name").isin(*metric_input))
         .groupBy("metric_name", "trade_date", F.col("channel").cast("int").alias("channel"))
-        .agg(F.max_by("source_digest", F.struct("finished_at", "log_id")).alias("source_digest"))
+        .agg(F.max_by("source_digest", F.struct("finished_at", "log_id")).alias("content_digest"))
+        .withColumn("dataset", F.element_at(F.create_map(*[x for m, d in sorted(metric_input.items()) for x in (F.lit(m), F.lit(d))]), F.col("metric_name")))
     )
-    is_done = F.coalesce(F.col("content_digest") == F.col("source_digest"), F.lit(False)).alias("is_done")
-    keys = ["metric_name", "trade_date", "channel"]
-    # read three times below; a table, so that it is put together once
-    state = stored(current.join(last, keys, "left").select(*keys, "file_id", is_done))
-    stream = ["metric_name"]
-    gaps = subtract(to_intervals(state, stream, "file_id"), to_intervals(state.where("is_done"), stream, "file_id"), stream)
-    return records_in(state, gaps, stream, "file_id").select(*keys, "file_id")
+    files = day_file.select("dataset", "trade_date", F.col("channel").cast("int").alias("channel"), "content_digest", "file_id")
+    return last.join(files, ["dataset", "trade_date", "channel", "content_digest"]).select("metric_name", "file_id").distinct()
 
 
 class Ledger:
@@ -157,17 +176,59 @@ class Ledger:
 
     def output(self) -> DataFrame | None:
         """All committed output; None before the first commit."""
-        paths = [f"{self.root}/commits/v{v:08d}/output" for v in self.versions()]
+        paths = [p for v in self.versions() if self._fs.exists(self._path(p := f"{self.root}/commits/v{v:08d}/output"))]
         return self.spark.read.parquet(*paths) if paths else None
 
+    def adopt(self, records: DataFrame, seq: str) -> int:
+        """Commits the numbers of ``records`` as processed elsewhere, without output: how a pipeline with a log of its own moves in."""
+        versions = self.versions()
+        version = versions[-1] + 1 if versions else 0
+        staging = f"{self.root}/staging/{uuid.uuid4().hex}"
+        merge(self.processed(dict(records.dtypes)), to_intervals(records, self.stream, seq), stream=self.stream).write.parquet(f"{staging}/version/intervals")
+        self._commit(f"{staging}/version", version)
+        self._fs.delete(self._path(staging), True)
+        return version
+
+    def gaps(self, records: DataFrame, seq: str) -> DataFrame:
+        """Intervals of the available numbers that are not processed yet, late ones included."""
+        return subtract(to_intervals(records, self.stream, seq), self.processed(dict(records.dtypes)), self.stream)
+
+    def unread(self, records: DataFrame, seq: str) -> DataFrame:
+        """``records`` without the files that hold only processed numbers, by the extrema in their footers.
+
+        For a table that is nothing but its Parquet files, in which the stream's columns have one value per file or there is
+        one stream. Any other table is returned as it is; so nothing is ever left out that is not covered.
+        """
+        from gridloom.operators.profile import is_plain_scan
+
+        versions = self.versions()
+        if not versions or not is_plain_scan(records, [*self.stream, seq]):
+            return records
+        done = compact(self.processed(dict(records.dtypes)), self.stream)
+        ranges = footer.column_ranges(self.spark, records.inputFiles(), [*self.stream, seq])
+        one = F.lit(True)
+        for c in self.stream:
+            one = one & (F.col(f"low_{c}") == F.col(f"high_{c}"))
+        # sweep: of each stream the processed interval that begins last at or before a file's least number
+        keys = [f"__k{i}" for i in range(len(self.stream))]
+        files = ranges.where(one & F.col(f"low_{seq}").isNotNull()).select(*[F.col(f"low_{c}").alias(k) for c, k in zip(self.stream, keys, strict=True)], F.col(f"low_{seq}").cast("long").alias("lo"), F.lit(1).alias("is_file"), F.col(f"high_{seq}").cast("long").alias("hi"), "path")
+        covers = done.select(*[F.col(c).cast("string").alias(k) for c, k in zip(self.stream, keys, strict=True)], "lo", F.lit(0).alias("is_file"), "hi", F.lit(None).cast("string").alias("path"))
+        w = Window.partitionBy(*keys).orderBy("lo", "is_file").rowsBetween(Window.unboundedPreceding, 0)
+        swept = files.unionByName(covers).withColumn("__upto", F.max(F.when(F.col("is_file") == 0, F.col("hi"))).over(w))
+        # the driver plans the scan file by file anyway; this is one name for each that can be skipped
+        skip = {r.path for r in swept.where((F.col("is_file") == 1) & (F.col("hi") <= F.col("__upto"))).select("path").collect()}
+        left = [f for f in records.inputFiles() if f not in skip]
+        return records if not skip else self.spark.read.schema(records.schema).parquet(*left) if left else records.limit(0)
+
     def run(self, records: DataFrame, seq: str, process: Callable[[DataFrame], DataFrame]) -> int | None:
         """Processes the records not yet covered and commits; the new version, or None if there was nothing to do."""
         versions = self.versions()
         version = versions[-1] + 1 if versions else 0
         staging = f"{self.root}/staging/{uuid.uuid4().hex}"
         processed = self.processed(dict(records.dtypes))
+        records = self.unread(records, seq)
         # Written, so that output and intervals are of the same gaps even if more records arrive meanwhile or a task is rerun.
-        subtract(to_intervals(records, self.stream, seq), processed, self.stream).write.parquet(f"{staging}/gaps")
+        self.gaps(records, seq).write.parquet(f"{staging}/gaps")
         gaps = self.spark.read.parquet(f"{staging}/gaps")
         if gaps.isEmpty():
             self._fs.delete(self._path(staging), True)

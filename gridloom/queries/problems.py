@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.axis import axis_position, minute_code_unchecked
 from gridloom.operators import drift, eager, gridfit, intervals, profile
-from gridloom.session import table
+from gridloom.session import checkpoint_dir, stored, table
 
 DATE = "yyyy-MM-dd"
 
@@ -80,9 +82,45 @@ def p2_grid(spark: SparkSession, d: str) -> DataFrame:
 # --- problem 3: processing only new or changed records
 
 
+#: Which day files each metric reads.
+METRIC_INPUT = {"trade_volume_min": "chengjiao", "trade_count_min": "chengjiao", "order_count_min": "weituo"}
+
+
+def _ledger(spark: SparkSession, d: str) -> intervals.Ledger:
+    """A ledger that has taken over what earlier runs processed."""
+    ledger = intervals.Ledger(spark, f"{checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}", ["metric_name"])
+    ledger.adopt(intervals.processed_deliveries(table(spark, d, "day_file"), table(spark, d, "run_log"), METRIC_INPUT), "file_id")
+    return ledger
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    pending = intervals.pending_files(table(spark, d, "day_file"), table(spark, d, "run_log"))
-    return pending.select("metric_name", date_text(), "channel")
+    """Current deliveries whose file numbers no processed interval covers."""
+    available = stored(intervals.current_deliveries(table(spark, d, "day_file"), METRIC_INPUT))
+    gaps = stored(_ledger(spark, d).gaps(available, "file_id"))
+    return intervals.records_in(available, gaps, ["metric_name"], "file_id").select("metric_name", date_text(), "channel")
+
+
+def p3_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs over the ledger: one in the middle of the time of deliveries, which fails at first, and one at the end, which
+    also takes late files of the dates before. Every pending file is processed once: ``metric_name, trade_date, channel, file_id, run``."""
+    ledger, files = _ledger(spark, d), table(spark, d, "day_file")
+    first, last = files.agg(F.min("delivered_at"), F.max("delivered_at")).first()
+    middle = first + (last - first) // 2 if first else first
+    early = stored(intervals.current_deliveries(files.where(F.col("delivered_at") <= F.lit(middle)), METRIC_INPUT))
+
+    def lost(_: DataFrame) -> DataFrame:
+        raise ConnectionError("the run breaks off")
+
+    try:
+        ledger.run(early, "file_id", lost)
+    except ConnectionError:
+        pass
+    for run, available in ((1, early), (2, stored(intervals.current_deliveries(files, METRIC_INPUT)))):
+        ledger.run(available, "file_id", lambda new, run=run: new.withColumn("run", F.lit(run)))
+    done = ledger.output()
+    if done is None:
+        return early.limit(0).select("metric_name", date_text(), "channel", "file_id", F.lit(0).alias("run"))
+    return done.select("metric_name", date_text(), "channel", "file_id", "run")
 
 
 def p3_intervals(spark: SparkSession, d: str) -> DataFrame:
@@ -131,4 +169,4 @@ def p5_profile(spark: SparkSession, d: str) -> DataFrame:
     return out.drop("n_chunks", "n_scanned")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_symbol_day, p1_fill_by_symbol, p2_found, p2_grid, p3_found, p3_intervals, p4_found, p4_orders, p5_found, p5_chunks, p5_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_symbol_day, p1_fill_by_symbol, p2_found, p2_grid, p3_found, p3_runs, p3_intervals, p4_found, p4_orders, p5_found, p5_chunks, p5_profile)}

@@ -82,6 +82,21 @@ FROM wanted w LEFT JOIN last l ON w.metric_name = l.metric_name AND w.trade_date
 WHERE l.digest IS NULL OR l.digest <> w.digest
 """
 
+INPUTS = "(VALUES ('trade_volume_min', 'chengjiao'), ('trade_count_min', 'chengjiao'), ('order_count_min', 'weituo')) m(metric_name, dataset)"
+
+# what was pending at the middle delivery time, and what came or changed after it; a file processed by the first run is not taken again
+P3_RUNS = f"""
+WITH t AS (SELECT make_timestamp((epoch_us(min(delivered_at)) + epoch_us(max(delivered_at))) // 2) AS middle FROM day_file),
+latest AS (SELECT 1 AS run, dataset, trade_date, channel, arg_max(file_id, (delivered_at, delivery, file_id)) AS file_id FROM day_file, t WHERE file_state = 'complete' AND delivered_at <= middle GROUP BY ALL
+  UNION ALL SELECT 2, dataset, trade_date, channel, arg_max(file_id, (delivered_at, delivery, file_id)) FROM day_file WHERE file_state = 'complete' GROUP BY ALL),
+last AS (
+  SELECT metric_name, trade_date, channel, arg_max(source_digest, (finished_at, log_id)) AS digest FROM run_log WHERE run_status = 'success' AND finished_at IS NOT NULL GROUP BY ALL),
+pending AS (
+  SELECT m.metric_name, l.trade_date, l.channel, l.file_id, min(l.run) AS run FROM latest l JOIN {INPUTS} ON l.dataset = m.dataset JOIN day_file f ON f.file_id = l.file_id
+  LEFT JOIN last d ON d.metric_name = m.metric_name AND d.trade_date = l.trade_date AND d.channel = l.channel WHERE d.digest IS NULL OR d.digest <> f.content_digest GROUP BY ALL)
+SELECT metric_name, strftime(trade_date, '%Y-%m-%d') AS trade_date, CAST(channel AS INTEGER) AS channel, file_id, CAST(run AS INTEGER) AS run FROM pending
+"""
+
 P3_INTERVALS = """
 SELECT dataset, min(file_id) AS lo, max(file_id) AS hi
 FROM (SELECT dataset, file_id, file_id - row_number() OVER (PARTITION BY dataset ORDER BY file_id) AS g FROM (SELECT DISTINCT dataset, file_id FROM day_file)) GROUP BY dataset, g
@@ -121,4 +136,4 @@ def _profile_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
-SQL = {"p1_found": P1_FOUND, "p1_symbol_day": P1_SYMBOL_DAY, "p1_fill_by_symbol": P1_FILL, "p2_found": P2_FOUND, "p2_grid": P2_GRID, "p3_found": P3_FOUND, "p3_intervals": P3_INTERVALS, "p5_found": P5_FOUND, "p5_profile": _profile_sql()}
+SQL = {"p1_found": P1_FOUND, "p1_symbol_day": P1_SYMBOL_DAY, "p1_fill_by_symbol": P1_FILL, "p2_found": P2_FOUND, "p2_grid": P2_GRID, "p3_found": P3_FOUND, "p3_runs": P3_RUNS, "p3_intervals": P3_INTERVALS, "p5_found": P5_FOUND, "p5_profile": _profile_sql()}

@@ -181,3 +181,28 @@ def chunks(path: str) -> Iterator[tuple[int, int, pq.ColumnChunkMetaData]]:
         group = meta.row_group(g)
         for c in range(group.num_columns):
             yield g, group.num_rows, group.column(c)
+
+
+def column_ranges(spark: SparkSession, files: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``path``, and ``low_<c>, high_<c>`` of each column as text: extrema over all chunks of a file, null where a footer lacks them or counts nulls."""
+    wanted = list(columns)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[str | None]] = []
+            for path in batch.column(0).to_pylist():
+                found: dict[str, list] = {c: [] for c in wanted}
+                for _, _, chunk in chunks(path):
+                    if chunk.path_in_schema in found:
+                        s = chunk.statistics
+                        found[chunk.path_in_schema].append((s.min, s.max) if s is not None and s.has_min_max and s.has_null_count and not s.null_count else None)
+                row: list[str | None] = [path]
+                for c in wanted:
+                    whole = bool(found[c]) and None not in found[c]
+                    row += [as_text(min(x[0] for x in found[c])), as_text(max(x[1] for x in found[c]))] if whole else [None, None]
+                out.append(row)
+            names = ["path", *[f"{e}_{c}" for c in wanted for e in ("low", "high")]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(len(names))], names=names)
+
+    schema = ", ".join(["path string", *[f"`{e}_{c}` string" for c in wanted for e in ("low", "high")]])
+    return file_table(spark, files).mapInArrow(read, schema)

@@ -57,10 +57,27 @@ def test_a_line_is_reproduced(spark):
 
 
 def test_runs(spark):
-    df = spark.createDataFrame([("a", c, 0, 1, "", "") for c in (3, 4, 9)] + [("b", None, 0, 1, "", "")], SCHEMA)
-    grid = gridfit.grid_regression(df, ["s"], F.col("code"), F.col("e"), F.col("y"), 12, 1000, 2)
-    assert rows(gridfit.empty_runs(grid, ["s"], 3)) == [("a", 0, 2), ("a", 5, 8), ("b", 0, 11)]
-    assert rows(gridfit.empty_runs(grid, ["s"], 4)) == [("a", 5, 8), ("b", 0, 11)]
+    df = spark.createDataFrame([("a", c, 0, 1, "", "") for c in (3, 4, 9)] + [("b", None, 0, 1, "", ""), ("c", 6, 0, None, "", "")], SCHEMA)
+    grid = gridfit.grid_regression(df, ["s"], F.col("code"), F.col("e"), F.col("y"), 12, 1000, 1)
+    # a reading without value supports nothing, but its cell is not empty
+    assert rows(gridfit.empty_runs(grid, ["s"], 3, 1)) == [("a", 0, 2), ("a", 5, 8), ("b", 0, 11), ("c", 0, 5), ("c", 7, 11)]
+    assert rows(gridfit.empty_runs(grid, ["s"], 4, 1)) == [("a", 5, 8), ("b", 0, 11), ("c", 0, 5), ("c", 7, 11)]
+    with pytest.raises(ValueError, match="bandwidth"):
+        gridfit.empty_runs(grid, ["s"], 4, 3)
+
+
+@pytest.mark.parametrize("bandwidth", [1, 2, 5])
+def test_every_long_run_holds_a_cell_without_support(spark, bandwidth):
+    rnd = random.Random(bandwidth)
+    data = [(str(s), c, -rnd.randrange(1000), rnd.choice([None, 1, 5]), "", "") for s in range(40) for c in range(60) if rnd.random() < 0.15]
+    grid = gridfit.grid_regression(spark.createDataFrame(data, SCHEMA), ["s"], F.col("code"), F.col("e"), F.col("y"), 60, 1000, bandwidth)
+    want = []
+    for s in {x[0] for x in data}:
+        edges = [-1, *sorted({x[1] for x in data if x[0] == s}), 60]
+        want += [(s, a + 1, b - 1) for a, b in zip(edges, edges[1:]) if b - a - 1 >= 2 * bandwidth]
+    assert rows(gridfit.empty_runs(grid, ["s"], 2 * bandwidth, bandwidth)) == sorted(want, key=repr)
+    none = grid.withColumn("n_eff", F.lit(1.0)).withColumn("mark", F.lit("filled"))
+    assert rows(gridfit.empty_runs(none, ["s"], 2 * bandwidth, bandwidth)) == []  # no seeds, no runs
 
 
 def test_empty_and_arguments(spark):

@@ -31,6 +31,7 @@ def test_set_algebra(spark, small_blocks):
         records = make(range(60)).withColumn("block", F.lit("clash")).withColumn("lo", F.lit(0))
         got = rows(iv.records_in(records, iv.subtract(ia, ib, ["m"]), ["m"], "n"), "n")
         assert sorted(n for (n,) in got) == sorted([*(a - b)] * 2)
+        assert rows(iv.records_in(records, iv.subtract(ia, ib, ["m"]), ["m"], "n", most_intervals=0), "n") == got
 
 
 def test_streams_are_apart_and_empty(spark):
@@ -46,7 +47,7 @@ FILES = "file_id bigint, dataset string, trade_date string, channel int, deliver
 LOG = "log_id bigint, metric_name string, trade_date string, channel int, started_at string, finished_at string, run_status string, source_digest string"
 
 
-def test_pending_files(spark):
+def test_pending_files(spark, tmp_path):
     files = [
         (1, "weituo", "d1", 1, 1, "t1", 5, "A", "complete"),  # processed
         (2, "weituo", "d1", 2, 1, "t1", 5, "B", "complete"),  # replaced by 3, changed
@@ -70,11 +71,17 @@ def test_pending_files(spark):
         (7, "order_count_min", "d3", 2, "a", "c", "success", "X"),
         (8, "order_count_min", "d3", 3, "a", "c", "success", "I"),
     ]
-    got = iv.pending_files(spark.createDataFrame(files, FILES), spark.createDataFrame(log, LOG))
-    assert rows(got) == [("order_count_min", "d1", 2, 3), ("order_count_min", "d3", 1, 7), ("order_count_min", "d3", 2, 8)]
-    none = spark.createDataFrame([], FILES)
-    assert rows(iv.pending_files(none, spark.createDataFrame(log, LOG))) == []
-    assert len(rows(iv.pending_files(spark.createDataFrame(files, FILES), spark.createDataFrame([], LOG)))) == 6
+    inputs = {"order_count_min": "weituo"}
+
+    def pending(files, log):
+        day_file, run_log = spark.createDataFrame(files, FILES), spark.createDataFrame(log, LOG)
+        ledger = iv.Ledger(spark, f"file://{tmp_path}/{len(files)}-{len(log)}", ["metric_name"])
+        ledger.adopt(iv.processed_deliveries(day_file, run_log, inputs), "file_id")
+        available = iv.current_deliveries(day_file, inputs)
+        return rows(iv.records_in(available, ledger.gaps(available, "file_id"), ["metric_name"], "file_id"), "metric_name", "trade_date", "channel", "file_id")
+
+    assert pending(files, log) == [("order_count_min", "d1", 2, 3), ("order_count_min", "d3", 1, 7), ("order_count_min", "d3", 2, 8)]
+    assert pending([], log) == [] and len(pending(files, [])) == 6
 
 
 def test_ledger_survives_failures_and_late_commits(spark, tmp_path):
@@ -96,3 +103,35 @@ def test_ledger_survives_failures_and_late_commits(spark, tmp_path):
     assert expand(ledger.processed({"m": "string"})) == [1, 2, 3, 5, 6]
     with pytest.raises(Exception, match="committed"):
         ledger._commit(f"file://{tmp_path}/none", 1)
+
+
+def test_processed_files_are_not_read_again(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def deliver(name, ns, stream="s"):
+        pq.write_table(pa.table({"m": pa.array([stream] * len(ns)), "n": pa.array(ns, pa.int64())}), folder / name)
+
+    deliver("a.parquet", list(range(0, 10)))
+    deliver("b.parquet", list(range(10, 20)))
+    ledger = iv.Ledger(spark, f"file://{tmp_path}/ledger", ["m"])
+    read = lambda: spark.read.parquet(str(folder))
+    assert ledger.run(read(), "n", lambda df: df.select("m", "n")) == 0
+    deliver("c.parquet", [20, 22])
+    deliver("d.parquet", [5, 21])  # overlaps what is processed
+    deliver("e.parquet", [3, 4], "t")  # the same numbers of another stream
+    assert sorted(f[-9:] for f in ledger.unread(read(), "n").inputFiles()) == ["c.parquet", "d.parquet", "e.parquet"]
+    assert ledger.run(read(), "n", lambda df: df.select("m", "n")) == 1
+    assert rows(ledger.output()) == sorted([("s", n) for n in range(23)] + [("t", 3), ("t", 4)], key=repr)
+    deliver("f.parquet", [21, 23])
+    assert [f[-9:] for f in ledger.unread(read(), "n").inputFiles()] == ["f.parquet"]
+    filtered = read().where("n <> 22")  # more than its files: nothing is skipped
+    assert ledger.unread(filtered, "n") is filtered
+
+
+def test_compact_joins_at_block_edges(spark, small_blocks):
+    df = spark.createDataFrame([("s", n) for n in [*range(3, 27), 30, 40, 41, 47, 48]] + [("t", 8)], "m string, n bigint")
+    assert rows(iv.compact(iv.to_intervals(df, ["m"], "n"), ["m"]), "m", "lo", "hi") == [("s", 3, 26), ("s", 30, 30), ("s", 40, 41), ("s", 47, 48), ("t", 8, 8)]
