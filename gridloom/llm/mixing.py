@@ -157,18 +157,16 @@ def sample(tokens: DataFrame, calibrated: DataFrame, seed: int = 11) -> DataFram
 
 
 def short_sources(calibrated: DataFrame, cells: DataFrame, target: DataFrame) -> DataFrame:
-    """Sources of ``target`` that cannot reach their share even with all their cells at the cap, or that have none.
+    """Sources of ``target`` that cannot reach their share, by the fit: raking leaves them below it.
 
-    The exact count decides. The fitted weights are not asked: raking may end before such a source's cells are all at the cap.
+    A source without cells reaches nothing. The fit never uses a document beyond its cap, so a source that falls short is
+    below its share at every step; one that only has not converged yet is told apart by an exact check of what it has.
     """
-    total_value = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total")).first()[0]
-    have = calibrated.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    return (
-        target.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap"))
-        .join(have, "source", "left")
-        .where(F.coalesce("tokens", F.lit(0)) * F.col("cap") < F.col("share") * F.lit(total_value))
-        .select("source")
-    )
+    total = F.lit(cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total")).first()[0])
+    reached = calibrated.groupBy("source").agg(F.sum(F.col("weight") * F.col("tokens")).alias("reached"), F.sum("tokens").alias("tokens"))
+    wanted = target.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap"))
+    fitted = wanted.join(reached, "source", "left").withColumn("reached", F.coalesce("reached", F.lit(0.0))).where(F.col("reached") < F.col("share") * total)
+    return fitted.where(F.coalesce("tokens", F.lit(0)) * F.col("cap") < F.col("share") * total).select("source")
 
 
 def report(sampled: DataFrame, calibrated: DataFrame, target: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def test_very_long_ends_take_linear_time():
     began = time.time()
     for text in ("." * 300_000, "x" + " " * 300_000 + "y", " " * 300_000 + "[", "a [" * 100_000, "”" * 300_000, "<" * 300_000, "x" + "…" * 300_000, "&" * 300_000, "x" * 300_000 + "\n" * 300_000):
         assert 0.0 <= tr.probability(text, ([120], [400]), 0.1, tr.np.zeros(tr.DIMENSIONS)) <= 1.0
-        tr.examples(text, ([120], []), 0.1)
+        tr.examples(text, "It ends.", ([120], []), [0.5], 0.1)
     assert time.time() - began < 20
 
 
@@ -37,10 +37,12 @@ def test_limits():
         hist[n] = hist.get(n := rnd.randrange(40, 300), 0) + 1
     assert tr.find_limits(hist) == []
     hist[215] = hist.get(215, 0) + 60
-    assert [x for _, x in tr.find_limits(hist)] == [215]
+    assert [x for _, x, _ in tr.find_limits(hist)] == [215]
     for i in range(9):
-        hist[112 + i] = hist.get(112 + i, 0) + 9
-    found = sorted(x for _, x in tr.find_limits(hist))
+        hist[112 + i] = hist.get(112 + i, 0) + 12
+    for i in range(3):  # a soft limit ends sharply
+        hist[121 + i] = 0
+    found = sorted(x for _, x, _ in tr.find_limits(hist))
     assert found[-1] == 215 and any(118 <= x <= 122 for x in found)
     assert tr.find_limits({}) == []
 
@@ -101,6 +103,39 @@ def test_sources_beyond_the_bound_are_joined(spark):
     assert near == far
 
 
+def facts_of(df):
+    return tr.text_facts(df.select("doc_id", "source", "text"), "bigint", 1.0)
+
+
+def test_a_source_may_have_a_limit_in_either_unit(spark):
+    """Each is found in its own unit, and the lengths it makes pile up in the other unit are no limits."""
+    rnd = random.Random(9)
+    word = lambda ascii_: "".join(rnd.choice("abcdefgh" if ascii_ else "абвгдежз") for _ in range(rnd.randrange(3, 9)))
+    data = []
+    for i in range(1500):
+        text = " ".join(word(i % 2) for _ in range(rnd.randrange(5, 60)))
+        if i % 3 == 0:
+            text = text[:90]
+        elif i % 3 == 1:
+            text = text.encode()[:260].decode("utf-8", "ignore")
+        else:
+            text += "."
+        data.append((i, text, "s"))
+    got = tr.source_stats(facts_of(spark.createDataFrame(data, "doc_id bigint, text string, source string"))).first()
+    assert list(got.char_limits) == [90] and list(got.byte_limits) == [260]
+    assert len(got.limit_shares) == 2 and 0.2 < sum(got.limit_shares) <= 1.0
+
+
+def test_cuts_at_limits_are_measured():
+    rnd = random.Random(1)
+    text, other = "The night batch keeps the old price.", "The audit team records every change in both regions."
+    for limits in (([60], []), ([], [60]), ([20, 60], [])):
+        made = [p for _ in range(40) for p in tr.cut_at_limits(text, other, limits, [0.5] * 2, rnd)]
+        near = Counter(tr._near(tr.cut_length(p, unit), x) for p in made for unit, x in zip(("chars", "bytes"), limits) if x)
+        assert set(near) <= {"at", "below"} and near["at"] > 0 and near["below"] > 0
+    assert tr.cut_at_limits(text, other, ([60], []), [0.0], rnd) == []
+
+
 def mostly_cut(n=1200, seed=5, limit=40):
     """Source ``c`` cuts at a field limit, which most of its texts exceed; ``h`` never closes its texts and has no limit."""
     rnd = random.Random(seed)
@@ -120,7 +155,7 @@ def mostly_cut(n=1200, seed=5, limit=40):
 def test_a_source_that_cuts_most_of_its_texts_keeps_its_limit(spark):
     data = mostly_cut()
     df = spark.createDataFrame(data, "doc_id bigint, text string, source string, cut int")
-    stats = {r.source_key: r for r in tr.source_stats(df, "text", "source").collect()}
+    stats = {r.source_key: r for r in tr.source_stats(facts_of(df)).collect()}
     assert stats["c"].open_rate > tr.NATURAL_OPEN_RATE and stats["h"].open_rate > tr.NATURAL_OPEN_RATE
     assert (list(stats["c"].char_limits), list(stats["h"].char_limits) + list(stats["h"].byte_limits)) == ([40], [])
     found = {r.doc_id for r in tr.found(tr.score(df, sample_rows=1200)).collect()}
@@ -134,7 +169,7 @@ def test_limits_of_texts_that_are_open_by_nature():
     body = Counter(max(3, round(rnd.gauss(40, 14))) for _ in range(4000))
     assert tr.find_limits(dict(body), natural=True) == []
     assert tr.find_limits({x: n for x, n in ((4, 224), (5, 180), (6, 30), (9, 40), (12, 75), (15, 110), (18, 100))}, natural=True) == []
-    assert [x for _, x in tr.find_limits(dict(body + Counter({48: 600})), natural=True)] == [48]
+    assert [x for _, x, _ in tr.find_limits(dict(body + Counter({48: 600})), natural=True)] == [48]
     soft = Counter(min(x, 50 - rnd.randrange(tr.SOFT)) if x > 50 else x for x in (max(3, round(rnd.gauss(60, 20))) for _ in range(4000)))
-    found = [x for _, x in tr.find_limits(dict(soft), natural=True)]
+    found = [x for _, x, _ in tr.find_limits(dict(soft), natural=True)]
     assert found == [50]
