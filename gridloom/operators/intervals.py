@@ -64,7 +64,7 @@ def subtract(available: DataFrame, processed: DataFrame, stream: Sequence[str])
     return merge(open_parts, stream=stream)
 
 
-def records_in(records: DataFrame, intervals: DataFrame, stream: Sequence[str], seq: str, most_intervals: int = 20_000) -> DataFrame:
+def records_in(records: DataFrame, intervals: DataFrame, stream: Sequence[str], seq: str, most_intervals: int = 256) -> DataFrame:
     """Records whose number lies in an interval of their stream, each once, all columns kept; null numbers and streams are in none.
 
     The least and the greatest number of all intervals go to the scan, which leaves out files and row groups without any of

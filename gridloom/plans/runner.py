@@ -6,15 +6,17 @@ import datetime as dt
 import importlib
 import json
 import os
+import shutil
 import sys
 import time
 import tomllib
 import uuid
+from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import verify
@@ -25,7 +27,37 @@ from gridloom.sources.published import RunConfig
 
 #: Exit codes of the command line.
 OK, FAILED, BAD_ARGUMENTS, NOT_READY, LOCKED = 0, 1, 2, 3, 4
-PLAN_KEYS = {"run": {"input_root", "output_root", "state_root", "mode", "validation", "start", "end", "compression", "compression_level"}, "task": {"name", "group", "columns"}}
+TEXT, CHOICE = "text", "choice"
+#: What a plan may say: key -> (kind, whether needed, allowed values).
+RUN_KEYS = {
+    "input_root": (TEXT, True, ()),
+    "output_root": (TEXT, True, ()),
+    "state_root": (TEXT, True, ()),
+    "mode": (CHOICE, False, ("daily", "full", "repair")),
+    "validation": (CHOICE, False, ("none", "structure", "light", "full")),
+    "start": ("day", False, ()),
+    "end": ("day", False, ()),
+    "compression": (TEXT, False, ()),
+    "compression_level": ("whole", False, ()),
+}
+TASK_KEYS = {"name": (TEXT, False, ()), "group": (TEXT, True, ()), "columns": ("table", False, ())}
+
+
+def _checked(section: str, given: dict[str, object], schema: dict[str, tuple[str, bool, tuple[str, ...]]]) -> dict[str, object]:
+    """A section of a plan against its keys: all faults in one error; days as text."""
+    faults = [f"unknown keys in the plan: {section}.{k}" for k in given if k not in schema]
+    out: dict[str, object] = {}
+    for key, (kind, needed, allowed) in schema.items():
+        value = given.get(key)
+        if value in (None, ""):
+            faults += [f"the plan needs {section}.{key}"] if needed else []
+        elif allowed and value not in allowed:
+            faults.append(f"{section}.{key} must be {', '.join(allowed)}: {value}")
+        else:
+            out[key] = date_text(value) if kind == "day" else value
+    if faults:
+        raise ValueError("; ".join(faults))
+    return out
 
 
 @dataclass(frozen=True)
@@ -58,30 +90,17 @@ class RunPlan:
 def load_plan(path: str | Path) -> RunPlan:
     """A TOML plan, ``[run]`` and ``[[task]]``. Unknown keys, modes and overlapping folders are errors."""
     raw = tomllib.loads(Path(path).read_text())
-    unknown = set(raw) - {"run", "task"}
-    unknown |= {f"run.{k}" for k in set(raw.get("run", {})) - PLAN_KEYS["run"]}
-    for t in raw.get("task", []):
-        unknown |= {f"task.{k}" for k in set(t) - PLAN_KEYS["task"]}
-    if unknown:
-        raise ValueError(f"unknown keys in the plan: {', '.join(sorted(unknown))}")
-    run = dict(raw.get("run", {}))
-    for k in ("input_root", "output_root", "state_root"):
-        if not run.get(k):
-            raise ValueError(f"the plan needs run.{k}")
-    if run.get("mode", "daily") not in {"full", "daily", "repair"}:
-        raise ValueError(f"mode must be full, daily or repair: {run['mode']}")
-    if run.get("validation", "structure") not in {"none", "structure", "light", "full"}:
-        raise ValueError(f"unknown validation {run['validation']}")
-    out, state = Path(run["output_root"]).resolve(), Path(run["state_root"]).resolve()
-    if state == out or out in state.parents:
+    run = _checked("run", raw.pop("run", {}), RUN_KEYS)
+    entries = [_checked("task", t, TASK_KEYS) for t in raw.pop("task", [])]
+    if raw or not entries:
+        raise ValueError(f"unknown keys in the plan: {', '.join(sorted(raw))}" if raw else "the plan has no task")
+    if Path(str(run["state_root"])).resolve().is_relative_to(Path(str(run["output_root"])).resolve()):
         raise ValueError("state_root must not lie in output_root")
-    if not raw.get("task"):
-        raise ValueError("the plan has no task")
-    tasks = tuple(task for t in raw["task"] for task in build_tasks(t))
-    names = [m.name for t in tasks for m in t.group.metrics]
-    if len(set(names)) != len(names):
-        raise ValueError("two tasks publish the same metric")
-    return RunPlan(**{k: (date_text(v) if k in {"start", "end"} else v) for k, v in run.items()}, tasks=tasks)
+    plan = RunPlan(**run, tasks=tuple(task for t in entries for task in build_tasks(t)))
+    publishes = Counter(m.name for t in plan.tasks for m in t.group.metrics)
+    if twice := [n for n, k in publishes.items() if k > 1]:
+        raise ValueError(f"two tasks publish the same metric: {', '.join(twice)}")
+    return plan
 
 
 def build_tasks(entry: dict[str, object]) -> list[TaskGroup]:
@@ -102,20 +121,22 @@ def build_tasks(entry: dict[str, object]) -> list[TaskGroup]:
     return [TaskGroup(str(entry.get("name", spec)), group, {d: list(columns.get(d, ["symbol", "trade_date", "time_ms", "volume"])) for d in group.metrics[0].inputs})]
 
 
-def representative_days(rows: dict[str, int]) -> list[str]:
-    """The day with most input rows, the first and the last, without repeats."""
-    if not rows:
-        return []
-    days = sorted(rows)
-    return list(dict.fromkeys([max(days, key=lambda d: (rows[d], d)), days[0], days[-1]]))
+def representative_days(days: DataFrame) -> DataFrame:
+    """Of ``day, n_rows`` the day with most input rows (of equal ones the last), the first and the last, without repeats."""
+    picked = days.agg(F.array_distinct(F.array(F.max_by("day", F.struct("n_rows", "day")), F.min("day"), F.max("day"))).alias("d"))
+    return picked.select(F.explode("d").alias("day")).where(F.col("day").isNotNull())
+
 
+def sampled_days(days: DataFrame, most: int = 5) -> DataFrame:
+    """Of the column ``day`` up to ``most`` days, evenly spaced over all, ends included.
 
-def sampled_days(days: Sequence[str], most: int = 5) -> list[str]:
-    """Up to five days, evenly spaced, ends included."""
-    days = sorted(days)
-    if len(days) <= most:
-        return days
-    return list(dict.fromkeys(days[round(i * (len(days) - 1) / (most - 1))] for i in range(most)))
+    The k-th of them is the day whose place is nearest to k steps of (n - 1) / (most - 1), of two the even one.
+    """
+    one = days.select("day").distinct()
+    w = Window.partitionBy(F.lit(1)).orderBy("day")  # a short text for each day
+    placed = one.select("day", (F.row_number().over(w) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).alias("n"))
+    marks = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.bround(k * (F.col("n") - 1) / F.lit(most - 1), 0).cast("int"))
+    return placed.where((F.col("n") <= most) | F.array_contains(marks, F.col("i"))).select("day")
 
 
 @dataclass
@@ -143,7 +164,9 @@ def run_group(spark: SparkSession, plan: RunPlan, task: TaskGroup, days: Sequenc
     pending = {m.name: published.pending_dates(requested, published.published_dates(plan.output_root, m.name), config) for m in task.group.metrics}
     todo = sorted(set().union(*pending.values()))
     if not todo:
-        return RunReport(task.name, "no_work", [], time.time() - began)
+        # a repeated run does nothing but look again at what is published
+        found = revalidate(spark, plan, task, requested) if plan.mode == "daily" else {}
+        return RunReport(task.name, "failed" if any(found.values()) else "no_work", [], time.time() - began, problems=found)
     paths = [str(input_path(plan.input_root, d, day)) for d in inputs for day in todo]
     missing = [p for p in paths if not os.path.exists(p)]
     if missing:
@@ -151,9 +174,11 @@ def run_group(spark: SparkSession, plan: RunPlan, task: TaskGroup, days: Sequenc
     policy = next((m.price_policy for m in task.group.metrics if m.price_policy), None)
     before = published.source_identity(paths)
     frames = {d: dayfiles.read_days(spark, plan.input_root, d, todo, task.columns[d], policy) for d in inputs}
-    dense = labelled(compute(frames, task.group)).persist()
+    # written, not cached: what is published is what was there when the sources were checked, even if executors are lost
+    staging = f"{plan.state_root}/staging/{uuid.uuid4().hex}"
     try:
-        dense.count()
+        labelled(compute(frames, task.group)).write.parquet(staging)
+        dense = spark.read.parquet(staging)
         if published.source_identity(paths) != before:
             raise RuntimeError("a source changed during the run; nothing is published")
         for m in task.group.metrics:
@@ -161,9 +186,13 @@ def run_group(spark: SparkSession, plan: RunPlan, task: TaskGroup, days: Sequenc
             if mine:
                 published.write_days(dense.where(F.col("trade_date").isin(mine)), plan.output_root, m.name, config)
     finally:
-        dense.unpersist()
+        shutil.rmtree(staging, ignore_errors=True)
     rows = {d: sum(dayfiles.row_count([str(input_path(plan.input_root, x, d))]) for x in inputs) for d in todo}
     problems = validate(spark, plan, task, frames, todo, rows)
+    skipped = sorted(set(requested) - set(todo))
+    if skipped and plan.mode == "daily":
+        for name, found in revalidate(spark, plan, task, skipped).items():
+            problems[name] = {**problems.get(name, {}), **found}
     status = "failed" if any(problems.values()) else "ok"
     report = RunReport(task.name, status, todo, time.time() - began, sum(rows.values()), problems)
     for m in task.group.metrics:
@@ -171,12 +200,26 @@ def run_group(spark: SparkSession, plan: RunPlan, task: TaskGroup, days: Sequenc
     return report
 
 
+def revalidate(spark: SparkSession, plan: RunPlan, task: TaskGroup, days: Sequence[str]) -> dict[str, dict[str, int]]:
+    """Structure of days that an earlier run published, ``skipped_incomplete_days`` per metric; sources are not read."""
+    if plan.validation == "none" or not days:
+        return {}
+    dates = [dt.datetime.strptime(d, "%Y%m%d").date() for d in days]
+    out = {}
+    for m in task.group.metrics:
+        bad = verify.structure(published.read_metric(spark, plan.output_root, m.name).where(F.col("trade_date").isin(dates))).where(~F.col("complete")).count()
+        out[m.name] = {"skipped_incomplete_days": bad} if bad else {}
+    return out
+
+
 def validate(spark: SparkSession, plan: RunPlan, task: TaskGroup, frames: dict[str, DataFrame], days: Sequence[str], rows: dict[str, int]) -> dict[str, dict[str, int]]:
     """Structure of every published day; with a reference also values - of representative days (light) or all (full)."""
     if plan.validation == "none":
         return {}
     out: dict[str, dict[str, int]] = {}
-    chosen = representative_days(rows) if plan.validation == "light" else list(days)
+    chosen = list(days)
+    if plan.validation == "light":
+        chosen = [r.day for r in representative_days(spark.createDataFrame(list(rows.items()), "day string, n_rows bigint")).collect()]
     dates = [dt.datetime.strptime(d, "%Y%m%d").date() for d in chosen]
     for m in task.group.metrics:
         df = published.read_metric(spark, plan.output_root, m.name)
@@ -198,12 +241,15 @@ class Lock:
     def __init__(self, path: str | Path) -> None:
         self.path = Path(path)
 
-    def __enter__(self) -> Lock:
+    def take(self) -> Lock:
         self.path.parent.mkdir(parents=True, exist_ok=True)
         self.handle = os.open(self.path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
         os.write(self.handle, str(os.getpid()).encode())
         return self
 
+    def __enter__(self) -> Lock:
+        return self
+
     def __exit__(self, *_: object) -> None:
         os.close(self.handle)
         self.path.unlink(missing_ok=True)
@@ -221,12 +267,20 @@ def run_plan(spark: SparkSession, plan: RunPlan, execute: bool = False, check_re
             reports.append(RunReport(task.name, "planned" if todo else "no_work", todo))
         return OK, reports
     try:
-        with Lock(Path(plan.state_root) / "run.lock"):
+        lock = Lock(Path(plan.state_root) / "run.lock").take()
+    except FileExistsError:
+        return LOCKED, reports
+    try:
+        with lock:
             for task in plan.tasks:
                 if (Path(plan.state_root) / "STOP").exists():
                     reports.append(RunReport(task.name, "stopped", []))
                     continue
-                days = matching_dates(plan.input_root, list(task.group.metrics[0].inputs), plan.start, plan.end)
+                try:
+                    days = matching_dates(plan.input_root, list(task.group.metrics[0].inputs), plan.start, plan.end)
+                except FileNotFoundError as e:
+                    reports.append(RunReport(task.name, f"failed: {e}"[:500], []))
+                    continue
                 if check_ready and (reason := check_ready(list(days))) is not None:
                     reports.append(RunReport(task.name, f"not_ready: {reason}", []))
                     return NOT_READY, reports
@@ -237,8 +291,8 @@ def run_plan(spark: SparkSession, plan: RunPlan, execute: bool = False, check_re
                     continue
                 if validate_output and (reason := validate_output(list(days))) is not None:
                     reports[-1].status = f"failed: {reason}"
-    except FileExistsError:
-        return LOCKED, reports
+    finally:
+        shutil.rmtree(Path(plan.state_root) / "staging", ignore_errors=True)  # what a broken run left
     published.write_manifest(plan.state_root, f"run_report_{uuid.uuid4().hex[:8]}", {"tasks": [vars(r) for r in reports]})
     return (FAILED if any(r.status.startswith("failed") for r in reports) else OK), reports
 

@@ -123,7 +123,8 @@ def q_P3_market_switches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_P4_order_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return trades(spark, d).where((F.col("buy_order_num") > 0) & (F.col("sell_order_num") > 0)).groupBy(day(), F.col("channel").cast("int").alias("channel")).agg(F.count(F.lit(1)).alias("n"))
+    """Legs of trades with an order number, by the operator that drops those without."""
+    return views.legs(trades(spark, d)).groupBy(day(), F.col("channel").cast("int").alias("channel"), "order_side").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_P6_sides(spark: SparkSession, d: str) -> DataFrame:
@@ -238,6 +239,14 @@ def q_W1_path_extremes(spark: SparkSession, d: str) -> DataFrame:
     return out(aggs.path_extremes(cells, CELL, ["time_ms", "pos"], "side", weights))
 
 
+def q_W2_shape_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Shape of all 242 labels, those without trades included."""
+    df = out(_dense(spark, d, "shape"))
+    for c in ("volume_entropy_min", "time_centre_min", "volume_centre_min"):
+        df = df.withColumn(c, F.floor(F.col(c) * 1e6 + 0.5).cast("double") / 1e6)
+    return df
+
+
 def q_W2_shape(spark: SparkSession, d: str) -> DataFrame:
     """Entropy, time centres and buy-side volume (W2-W4) of trades."""
     df = out(_dense(spark, d, "shape").where("time_centre_min is not null"))
@@ -321,25 +330,29 @@ def q_O4_order_view(spark: SparkSession, d: str) -> DataFrame:
 
 def q_O5_representative_days(spark: SparkSession, d: str) -> DataFrame:
     """The day with most trades, the first and the last."""
-    days = trades(spark, d).groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"))
-    best = days.agg(F.max_by("trade_date", F.struct("n", "trade_date")).alias("a"), F.min("trade_date").alias("b"), F.max("trade_date").alias("c"))
-    return best.select(F.explode(F.array_distinct(F.array("a", "b", "c"))).alias("trade_date")).select(day())
+    from gridloom.plans.runner import representative_days
+
+    return representative_days(trades(spark, d).groupBy(F.col("trade_date").alias("day")).agg(F.count(F.lit(1)).alias("n_rows"))).select(day("day").alias("trade_date"))
 
 
 # --- sources and verification
 
 
 def q_S7_row_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Row counts of all tick tables, one aggregate each."""
+    """Row counts of all tick tables from the footers of their files, read on the executors; no data page is touched."""
+    from gridloom.sources import footer
+
     parts = None
     for n in ("weituo", "chengjiao", "chedan", "minute_volume"):
-        p = table(spark, d, n).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows")
+        p = footer.row_counts(spark, table(spark, d, n).inputFiles()).agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows")
         parts = p if parts is None else parts.union(p)
     return parts
 
 
 def q_S8_published_dates(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "minute_volume").select("trade_date").distinct().select(day())
+    from gridloom.sources.published import dates_of
+
+    return dates_of(table(spark, d, "minute_volume")).select(day())
 
 
 def _expected_volume(spark: SparkSession, d: str) -> DataFrame:
@@ -382,8 +395,7 @@ def q_P12_unknown_cells(spark: SparkSession, d: str) -> DataFrame:
     return out(metric.unknown_cells(cells, metric.universe([orders(spark, d)])))
 
 
-def q_X5_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """numpy blocks per symbol-day: count and volume by segment sums."""
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
     import numpy as np
 
     def block(b: dict) -> dict:
@@ -391,7 +403,17 @@ def q_X5_blocks(spark: SparkSession, d: str) -> DataFrame:
         ends = np.append(starts[1:], len(b["minute_code"]))
         return {"n": (codes, (ends - starts).astype(np.int64)), "volume": (codes, np.add.reduceat(b["volume"].astype(np.int64), starts) if len(codes) else np.zeros(0, np.int64))}
 
-    return out(bridges.compute_blocks(coded(trades(spark, d)), ["volume"], block, {"n": "bigint", "volume": "bigint"}))
+    return bridges.compute_blocks(coded(trades(spark, d)), ["volume"], block, {"n": "bigint", "volume": "bigint"})
+
+
+def q_X5_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """numpy blocks per symbol-day: count and volume by segment sums."""
+    return out(_blocks(spark, d))
+
+
+def q_J2_block_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Results of numpy blocks as full grids: every symbol-day of the unfiltered trades has all 242 labels."""
+    return out(metric.densify(_blocks(spark, d), metric.universe([trades(spark, d)]), {"n": 0, "volume": 0}))
 
 
 def q_L1_lineitem_minutes(spark: SparkSession, d: str) -> DataFrame:
@@ -443,13 +465,10 @@ def q_S4_field_info(spark: SparkSession, d: str) -> DataFrame:
 
 def q_S6_date_completeness(spark: SparkSession, d: str) -> DataFrame:
     """Days that a table lacks while another one has them."""
-    names = ("weituo", "chengjiao", "chedan", "minute_volume")
-    have = None
-    for n in names:
-        p = table(spark, d, n).select(F.lit(n).alias("table_name"), "trade_date").distinct()
-        have = p if have is None else have.union(p)
-    wanted = have.select("trade_date").distinct().select("trade_date", F.explode(F.array(*[F.lit(n) for n in names])).alias("table_name"))
-    return wanted.join(have, ["table_name", "trade_date"], "left_anti").select("table_name", day())
+    from gridloom.sources.paths import missing_days
+
+    tables = {n: table(spark, d, n).select(F.col("trade_date").alias("day")) for n in ("weituo", "chengjiao", "chedan", "minute_volume")}
+    return missing_days(tables).select(F.col("name").alias("table_name"), day("day").alias("trade_date"))
 
 
 def q_S10_publish(spark: SparkSession, d: str) -> DataFrame:
@@ -500,8 +519,7 @@ def q_O6_sampled_days(spark: SparkSession, d: str) -> DataFrame:
     """Up to five evenly spaced days."""
     from gridloom.plans.runner import sampled_days
 
-    days = [r[0] for r in trades(spark, d).select(day()).distinct().collect()]  # one short text a day
-    return spark.createDataFrame([(x,) for x in sampled_days(days)], "trade_date string")
+    return sampled_days(trades(spark, d).select(day().alias("day"))).select(F.col("day").alias("trade_date"))
 
 
 def q_C6_chain_tolerance(spark: SparkSession, d: str) -> DataFrame:
@@ -536,4 +554,59 @@ def q_C7_footers(spark: SparkSession, d: str) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
+# --- publication: resume, overwrite, schema, validation
+
+
+def _published(spark: SparkSession, d: str):  # noqa: ANN202
+    """Folder of a publication of ``trade_volume_min``: first the days that ``minute_volume`` has, then what resuming finds pending."""
+    import uuid
+
+    from gridloom.session import checkpoint_dir
+    from gridloom.sources import published
+
+    root = f"{checkpoint_dir(spark).removeprefix('file://')}/publish-{uuid.uuid4().hex}"
+    dense = metric.labelled(_dense(spark, d, "trades_basic").select(*CELL, "trade_volume_min"))
+    early = table(spark, d, "minute_volume").select("trade_date").distinct()
+    published.write_days(dense.join(early, "trade_date", "left_semi"), root, "trade_volume_min", published.RunConfig(d, root))
+    return root, dense
+
+
+def q_R3_resume(spark: SparkSession, d: str) -> DataFrame:
+    """Rows per day after a publication of the early days and a resumed one: ``run`` says which of the two wrote the day."""
+    from gridloom.sources import published
+
+    root, dense = _published(spark, d)
+    config = published.RunConfig(d, root, resume=True)
+    first = published.published_dates(root, "trade_volume_min")
+    wanted = [r[0] for r in trades(spark, d).select(F.date_format("trade_date", "yyyyMMdd")).distinct().collect()]  # a short text a day
+    todo = published.pending_dates(wanted, first, config)
+    if todo:
+        published.write_days(dense.where(F.date_format("trade_date", "yyyyMMdd").isin(todo)), root, "trade_volume_min", config)
+    back = published.read_metric(spark, root, "trade_volume_min").groupBy("trade_date").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("trade_volume_min").alias("volume"))
+    return back.select(day(), F.when(F.date_format("trade_date", "yyyyMMdd").isin(first), 1).otherwise(2).alias("run"), "n_rows", "volume")
+
+
+def q_R4_overwrite(spark: SparkSession, d: str) -> DataFrame:
+    """Volume per day after the first day was published again with doubled values: the other days stay as they were."""
+    from gridloom.sources import published
+
+    root, dense = _published(spark, d)
+    first = table(spark, d, "minute_volume").agg(F.min("trade_date")).first()[0]
+    published.write_days(dense.where(F.col("trade_date") == first).withColumn("trade_volume_min", F.col("trade_volume_min") * 2), root, "trade_volume_min", published.RunConfig(d, root, overwrite_dates=True))
+    return published.read_metric(spark, root, "trade_volume_min").groupBy("trade_date").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("trade_volume_min").alias("volume")).select(day(), "n_rows", "volume")
+
+
+def q_C1_schema(spark: SparkSession, d: str) -> DataFrame:
+    """Faults of the published table's schema against the strict form."""
+    wanted = [("trade_date", "date", False), ("minute", "timestamp_ntz", False), ("symbol", "string", False), ("trade_volume_min", "bigint", True)]
+    found = verify.schema_problems(table(spark, d, "minute_volume"), wanted)
+    return spark.createDataFrame([(x,) for x in found], "problem string")
+
+
+def q_C4_validate(spark: SparkSession, d: str) -> DataFrame:
+    """Problems of the published metric by kind, held against values computed again from trades."""
+    actual = table(spark, d, "minute_volume").select("trade_date", "minute", "symbol", "trade_volume_min")
+    return verify.compare_summary(_expected_volume(spark, d), actual, "trade_volume_min").select("problem", "n")
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_")}

@@ -56,7 +56,7 @@ SQL = {
     "q_F14_digests": "SELECT file_id, sha256(file_id::VARCHAR || '|' || content_digest) AS digest FROM day_file",
     "q_P2_on_axis": f"WITH {coded('chengjiao')} SELECT {DATE}, minute_code, count(*) AS n FROM c GROUP BY c.trade_date, minute_code",
     "q_P3_market_switches": f"SELECT {DATE}, " + ", ".join(f"count(*) FILTER (WHERE {code_sql('time_ms', a, b)} >= 0) AS n_{int(a)}{int(b)}" for a, b in PAIRS) + " FROM chengjiao GROUP BY chengjiao.trade_date",
-    "q_P4_order_numbers": f"SELECT {DATE}, CAST(channel AS INTEGER) AS channel, count(*) AS n FROM chengjiao WHERE buy_order_num > 0 AND sell_order_num > 0 GROUP BY chengjiao.trade_date, chengjiao.channel",
+    "q_P4_order_numbers": f"WITH {LEGS} SELECT {DATE}, CAST(channel AS INTEGER) AS channel, order_side, count(*) AS n FROM legs GROUP BY legs.trade_date, legs.channel, order_side",
     "q_P6_sides": f"SELECT {DATE}, symbol, CAST(sum(volume) FILTER (WHERE side = 49) AS BIGINT) AS buy_volume, CAST(sum(volume) FILTER (WHERE side = 50) AS BIGINT) AS sell_volume FROM weituo GROUP BY weituo.trade_date, symbol",
     "q_P7_session": f"SELECT {DATE}, symbol, count(*) AS n, CAST(sum(volume) AS BIGINT) AS volume FROM chengjiao WHERE (time_ms >= 34200000 AND time_ms < 41400000) OR (time_ms >= 46800000 AND time_ms < 53820000) GROUP BY chengjiao.trade_date, symbol",
     "q_P8_amounts": f"SELECT {DATE}, count(*) FILTER (WHERE money < 0) AS bad_money, count(*) FILTER (WHERE price < 0) AS bad_price, count(*) FILTER (WHERE money IS NULL OR money < 0) AS bad_or_missing_money FROM weituo GROUP BY weituo.trade_date",
@@ -149,8 +149,19 @@ SQL = {
         FROM d LEFT JOIN r ON r.t = d.t AND r.trade_date IS NOT DISTINCT FROM d.trade_date LEFT JOIN m ON m.t = d.t AND m.trade_date = d.trade_date LEFT JOIN e ON e.t = d.t AND e.trade_date = d.trade_date""",
 }
 
+EXPECTED = f"""{coded('chengjiao')}, {universe('chengjiao')}, {GRID}, s AS (SELECT trade_date, symbol, minute_code, CAST(sum(volume) AS BIGINT) AS v FROM c GROUP BY ALL),
+  dense AS (SELECT g.trade_date, count(*) AS n_rows, CAST(sum(coalesce(s.v, 0)) AS BIGINT) AS volume FROM g LEFT JOIN s ON g.trade_date = s.trade_date AND g.symbol = s.symbol AND g.minute_code = s.minute_code GROUP BY g.trade_date)"""
+SQL |= {
+    "q_J2_block_grid": dense("chengjiao", ("chengjiao",), {"n": ("count(*)", "0"), "volume": ("CAST(sum(volume) AS BIGINT)", "0")}),
+    "q_R3_resume": f"WITH {EXPECTED} SELECT {DATE}, CASE WHEN trade_date IN (SELECT trade_date FROM minute_volume) THEN 1 ELSE 2 END AS run, n_rows, volume FROM dense",
+    "q_R4_overwrite": f"WITH {EXPECTED} SELECT {DATE}, n_rows, CAST(volume * CASE WHEN trade_date = (SELECT min(trade_date) FROM minute_volume) THEN 2 ELSE 1 END AS BIGINT) AS volume FROM dense WHERE trade_date IN (SELECT trade_date FROM minute_volume)",
+    # Parquet tables read by Spark are nullable in every column
+    "q_C1_schema": "SELECT * FROM (VALUES ('trade_date may be null'), ('minute may be null'), ('symbol may be null')) t(problem)",
+    "q_C4_validate": f"SELECT problem, count(*) AS n FROM ({SQL['q_C3_published_differences']}) GROUP BY problem",
+}
+
 # the same cells on the full grid
-for _name, _cells in (("q_A6_ohlc_grid", "q_A6_ohlc"), ("q_V4_participation_grid", "q_V4_participation_minute")):
+for _name, _cells in (("q_A6_ohlc_grid", "q_A6_ohlc"), ("q_W2_shape_grid", "q_W2_shape"), ("q_V4_participation_grid", "q_V4_participation_minute")):
     SQL[_name] = f"""WITH {universe('chengjiao')}, {GRID}, s AS ({SQL[_cells]})
     SELECT strftime(g.trade_date, '%Y-%m-%d') AS trade_date, g.symbol AS symbol, g.minute_code AS minute_code, s.* EXCLUDE (trade_date, symbol, minute_code)
     FROM g LEFT JOIN s ON s.trade_date = strftime(g.trade_date, '%Y-%m-%d') AND s.symbol = g.symbol AND s.minute_code = g.minute_code"""

@@ -206,3 +206,13 @@ def column_ranges(spark: SparkSession, files: Sequence[str], columns: Sequence[s
 
     schema = ", ".join(["path string", *[f"`{e}_{c}` string" for c in wanted for e in ("low", "high")]])
     return file_table(spark, files).mapInArrow(read, schema)
+
+
+def row_counts(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+    """``path, n_rows`` from footers only."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row_count(p) for p in batch.column(0).to_pylist()], pa.int64())], names=["path", "n_rows"])
+
+    return file_table(spark, files).mapInArrow(read, "path string, n_rows bigint")

@@ -65,6 +65,12 @@ def compression_options(codec: str, level: int | None) -> dict[str, str]:
     return out
 
 
+def dates_of(table: DataFrame) -> DataFrame:
+    """S8 over a published table: its days, ``trade_date``; a row without one raises."""
+    day = F.when(F.col("trade_date").isNull(), F.raise_error(F.lit("published row without trade_date")).cast("date")).otherwise(F.col("trade_date"))
+    return table.select(day.alias("trade_date")).distinct()
+
+
 def published_dates(root: str, metric: str) -> list[str]:
     """Published days of a metric from its folders; none before the first publication."""
     base = metric_root(root, metric)
@@ -87,8 +93,8 @@ def write_days(dense: DataFrame, root: str, metric: str, config: RunConfig) -> N
     if config.files_per_day == 1:
         placed = out.repartition("trade_date")
     else:
-        # ranges of symbols, so that one huge day is written by several tasks
-        placed = out.repartition("trade_date", F.pmod(F.xxhash64("symbol"), F.lit(config.files_per_day)))
+        # ranges of minutes, so that one huge day is written by several tasks and its files follow each other in order
+        placed = out.repartitionByRange(config.files_per_day * max(1, out.select("trade_date").distinct().count()), "trade_date", "minute", "symbol")
     writer = placed.sortWithinPartitions("trade_date", "minute", "symbol").write.mode("overwrite").partitionBy("month", "trade_date").option("partitionOverwriteMode", "dynamic")
     for k, v in compression_options(config.compression, config.compression_level).items():
         writer = writer.option(k, v)

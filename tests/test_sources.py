@@ -136,6 +136,39 @@ def test_publication(spark, tmp_path):
         published.pending_dates(["20250102"], ["20250102"], published.RunConfig("a", "b"))
 
 
+def test_a_repeated_run_looks_again_at_skipped_days(spark, tmp_path):
+    write(tmp_path / "in", "chengjiao", 20250102, trades(20250102))
+    assert runner.run_plan(spark, runner.load_plan(plan_of(tmp_path)), execute=True)[0] == runner.OK
+    day = next((tmp_path / "out/trade_volume_min").rglob("*.parquet"))
+    table = pq.read_table(day)
+    pq.write_table(table.slice(1), day)  # a cell is lost
+    day.with_name(f".{day.name}.crc").unlink(missing_ok=True)
+    spark.catalog.refreshByPath(str(tmp_path / "out/trade_volume_min"))
+    code, reports = runner.run_plan(spark, runner.load_plan(plan_of(tmp_path)), execute=True)
+    assert code == runner.FAILED and reports[0].problems["trade_volume_min"] == {"skipped_incomplete_days": 1}
+    write(tmp_path / "in", "chengjiao", 20250103, trades(20250103))
+    code, reports = runner.run_plan(spark, runner.load_plan(plan_of(tmp_path)), execute=True)
+    assert code == runner.FAILED and reports[0].days == ["20250103"] and reports[0].problems["trade_volume_min"] == {"skipped_incomplete_days": 1}
+    assert not (tmp_path / "state/staging").exists()
+
+
+def test_publication_leaves_other_caches_alone(spark, tmp_path):
+    kept = spark.range(3).persist()
+    kept.count()
+    write(tmp_path / "in", "chengjiao", 20250102, trades(20250102))
+    assert runner.run_plan(spark, runner.load_plan(plan_of(tmp_path)), execute=True)[0] == runner.OK
+    assert kept.storageLevel.useMemory and "InMemoryTableScan" in kept.groupBy().count()._jdf.queryExecution().executedPlan().toString()
+    kept.unpersist()
+
+
+def test_several_files_a_day_follow_each_other(spark, tmp_path):
+    dense = spark.range(242 * 40).select(F.lit("2025-01-02").cast("date").alias("trade_date"), (F.lit("2025-01-02 09:30:00").cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("id") % 242).cast("int"))).alias("minute"), F.format_string("s%02d", (F.col("id") / 242).cast("int")).alias("symbol"), F.col("id").alias("v_min"))
+    published.write_days(dense, str(tmp_path), "v_min", published.RunConfig("a", "b", files_per_day=3))
+    files = sorted((tmp_path / "v_min").rglob("*.parquet"))
+    got = [(r["minute"], r["symbol"]) for f in files for r in pq.ParquetFile(f).read(columns=["minute", "symbol"]).to_pylist()]
+    assert len(files) == 3 and len(got) == 242 * 40 and got == sorted(got)
+
+
 def test_run_guards(spark, tmp_path):
     write(tmp_path / "in", "chengjiao", 20250102, trades(20250102))
     plan = runner.load_plan(plan_of(tmp_path))
@@ -162,8 +195,12 @@ def test_run_guards(spark, tmp_path):
     with pytest.raises(ValueError, match="level"):
         published.compression_options("snappy", 3)
     assert published.compression_options("zstd", 3)["parquet.compression.codec.zstd.level"] == "3"
-    assert runner.representative_days({"a": 1, "b": 5, "c": 2}) == ["b", "a", "c"]
-    assert runner.sampled_days([str(i) for i in range(9)]) == ["0", "2", "4", "6", "8"]
+    days = lambda pairs: spark.createDataFrame(pairs, "day string, n_rows bigint")
+    assert rows(runner.representative_days(days([("a", 1), ("b", 5), ("c", 2)]))) == [("a",), ("b",), ("c",)]
+    assert rows(runner.representative_days(days([("a", 1)]))) == [("a",)] and rows(runner.representative_days(days([]))) == []
+    for n in (0, 1, 4, 5, 6, 9, 12, 23):
+        picked = {round(i * (n - 1) / 4) for i in range(5)} if n > 5 else set(range(n))
+        assert rows(runner.sampled_days(days([(f"{i:02d}", 1) for i in range(n)]))) == [(f"{i:02d}",) for i in sorted(picked)]
 
 
 def test_source_change_stops_publication(spark, tmp_path, monkeypatch):
